@@ -128,9 +128,11 @@ def exact_quantiles(
         def holds(index: Column) -> Column:
             return (index >= F.col("cum__n") - F.col("_n")) & (index < F.col("cum__n"))
 
-        weight = F.when(holds(low), 1 - weight_high).otherwise(0.0) + F.when(
-            holds(low + 1), weight_high
-        ).otherwise(0.0)
+        weight = (
+            F.when(holds(low) & holds(low + 1), 1.0)
+            .when(holds(low), 1 - weight_high)
+            .otherwise(weight_high)
+        )
         touched = holds(low) | (holds(low + 1) & (weight_high > 0))
         return F.when(touched, F.struct(F.lit(float(probability)).alias("prob"), weight.alias("weight")))
 
