@@ -26,14 +26,14 @@ TERM_DEFINITION = ("Термин встречается в материале; 
 EMPTY_MESSAGE = "No extractable text found"
 
 
-def segments_of(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def segments_of(documents: DataFrame, *keep: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(material_id, segments)``: non-blank lines with position and source."""
     lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(
         i.cast("bigint").alias("pos"), S.trimmed(line).alias("text"),
         F.concat(F.lit("paragraph "), (i + 1).cast("string")).alias("source"),
     ))
     return documents.select(
-        F.col(key).alias("material_id"), F.filter(lines, lambda s: F.length(s["text"]) > 0).alias("segments")
+        F.col(key).alias("material_id"), F.filter(lines, lambda s: F.length(s["text"]) > 0).alias("segments"), *keep
     )
 
 
@@ -137,7 +137,7 @@ def prompt_budget(materials: DataFrame, max_chars: int = 8000, per_segment: int
     )
 
 
-def material_stats(materials: DataFrame) -> DataFrame:
+def material_stats(materials: DataFrame, *keep: str) -> DataFrame:
     """Counts of the stored text and the processing status."""
     count = F.size("segments")
     chars = F.aggregate("segments", F.lit(0), lambda acc, s: acc + F.length(s["text"])) + F.greatest(2 * (count - 1), F.lit(0))
@@ -145,7 +145,7 @@ def material_stats(materials: DataFrame) -> DataFrame:
     return materials.select(
         "material_id", F.when(failed, "failed").otherwise("processed").alias("status"),
         count.alias("segments_count"), chars.alias("characters_count"),
-        F.when(failed, F.lit(EMPTY_MESSAGE)).alias("error_message"),
+        F.when(failed, F.lit(EMPTY_MESSAGE)).alias("error_message"), *keep,
     )
 
 
