@@ -157,7 +157,8 @@ def minmax_per_user(candidates: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def simple_hybrid(candidates: DataFrame, weights: Mapping[str, float] = HYBRID_WEIGHTS, k: int = 12) -> DataFrame:
-    scaled = minmax_per_user(candidates, list(weights))
+    """Weighted sum of the scaled scores; a cosine is on its 0..1 scale already."""
+    scaled = minmax_per_user(candidates, [c for c in weights if c != "content_similarity_score"])
     score = reduce(lambda a, b: a + b, [F.col(c) * w for c, w in weights.items()])
     # Scores that differ only in their last bits count as ties, so the id decides.
     scored = scaled.select("customer_id", "article_id", F.round(score, 9).alias("score"))
@@ -209,7 +210,7 @@ def recommend_lookup(requests: DataFrame, recommendations: DataFrame, popular: D
     ))
     found = F.col("_own").isNotNull()
     answer = joined.select(
-        "customer_id", "k", F.when(found, "personalized").otherwise("popularity").alias("source"),
+        "customer_id", "k", F.when(found, "personalized").otherwise("popularity_fallback").alias("source"),
         F.inline(F.when(found, own).otherwise(listed)),
     )
     return answer.where((F.col("rank") <= F.col("k")) & F.col("k").between(1, 50))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -17,9 +17,17 @@ LISTING_SCHEMA = (
 EXCLUDED_WORDS = ("графический дизайнер", "дизайнер", "менеджер")
 ROUBLE, ROUBLE_SIGN = "RUR", "₽"
 NO_SALARY, FROM_WORD, TO_WORD, GAP = "не указана", "от ", "до ", "окно"
+LABELS = {"employer": "Работодатель", "salary_text": "Зарплата", "url": "Ссылка", "snippet": "Кратко"}
+HIGHLIGHT = "</?highlighttext>"
 PRACTICE, LAB, LECTURE = "[Пр]", "[Лаб]", "[Лек]"
 
 
+def short_snippet(text: Column, length: int = 180) -> Column:
+    """Snippet without highlight marks, cut with an ellipsis."""
+    clean = S.trimmed(F.regexp_replace(text, HIGHLIGHT, ""))
+    return F.when(F.length(clean) > length, F.concat(F.substring(clean, 1, length), F.lit("…"))).otherwise(clean)
+
+
 def explode_listings(payloads: DataFrame, key: str = "payload_id", body: str = "body") -> DataFrame:
     """One flat row per listing item; missing nested parts become NULL."""
     items = F.from_json(body, LISTING_SCHEMA)["items"]
@@ -28,7 +36,7 @@ def explode_listings(payloads: DataFrame, key: str = "payload_id", body: str = "
         key, "item_no", S.trimmed(F.col("i.name")).alias("name"), F.col("i.employer.name").alias("employer"),
         F.col("i.salary.from").alias("salary_from"), F.col("i.salary.to").alias("salary_to"),
         F.upper(F.coalesce("i.salary.currency", F.lit(ROUBLE))).alias("currency"),
-        F.coalesce(F.nullif("i.snippet.requirement", F.lit("")), "i.snippet.responsibility").alias("snippet"),
+        short_snippet(F.coalesce(F.nullif("i.snippet.requirement", F.lit("")), "i.snippet.responsibility")).alias("snippet"),
         F.col("i.alternate_url").alias("url"),
     )
 
@@ -57,8 +65,20 @@ def rank_listings(
         banned = banned | title.contains(word)
     best = F.coalesce(F.greatest("salary_from", "salary_to"), F.lit(0))
     top = listings.where(~F.coalesce(banned, F.lit(False))).withColumn("best_salary", best)
-    return top.orderBy(F.desc("best_salary"), *tie).limit(count).withColumn(
+    best_paid = top.orderBy(F.desc("best_salary"), *tie).limit(count).withColumn(
         "salary_text", salary_text(F.col("salary_from"), F.col("salary_to"), F.col("currency")))
+    order = Window.orderBy(F.desc("best_salary"), *tie)  # ``count`` rows
+    return best_paid.withColumn("place", F.row_number().over(order)).withColumn("display", display_text())
+
+
+def display_text() -> Column:
+    """Text block of a listing; the snippet line only when there is one."""
+    def line(column: str) -> Column:
+        return F.concat(F.lit(f"   {LABELS[column]}: "), F.coalesce(column, F.lit("")))
+
+    head = F.concat(F.col("place").cast("string"), F.lit(". "), F.coalesce("name", F.lit("")))
+    snippet = F.when(F.coalesce("snippet", F.lit("")) != "", line("snippet"))
+    return F.concat_ws("\n", head, line("employer"), line("salary_text"), line("url"), snippet)
 
 
 def schedule_with_gaps(lessons: DataFrame, slots: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -50,7 +50,7 @@ def _fill_stage(fills: dict[str, str], numeric: Sequence[str]) -> SQLTransformer
 
 
 def logistic_pipeline(
-    data: DataFrame, features: Sequence[str], max_iter: int = 100, label: str = LABEL, weight: str = "weight"
+    data: DataFrame, features: Sequence[str], max_iter: int = 1000, label: str = LABEL, weight: str = "weight"
 ) -> Pipeline:
     """Median/mode imputation, scaling, one-hot, balanced logistic regression."""
     numeric, texts = column_kinds(data, features)

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.candidates import SOURCES
 from tidemark.operators.splits import last_day
 from tidemark.sources.contracts import ContractError, require_columns
 
-# The categorical item attributes and the affinity column of four of them.
+# The item attributes, those ranked by popularity, and the affinity column of four of them.
 ITEM_ATTRIBUTES = (
     "product_type_name", "product_group_name", "colour_group_name",
     "department_name", "section_name", "garment_group_name",
 )
+CHARTED_ATTRIBUTES = (
+    "product_group_name", "product_type_name", "colour_group_name", "section_name", "garment_group_name",
+)
 AFFINITY_COLUMNS = {
     "product_type_name": "user_product_type_count",
     "colour_group_name": "user_colour_count",
@@ -187,13 +190,12 @@ def profile_coverage(facts: DataFrame, dimension: DataFrame, key: str, attribute
 
 
 def popularity_by_category(transactions: DataFrame, articles: DataFrame, top: int = 12) -> DataFrame:
-    """Best selling values of each attribute column, ties by value."""
-    from pyspark.sql import Window
-
+    """Best selling known values of five attribute columns, ties by value."""
     items = transactions.groupBy("article_id").agg(F.count(F.lit(1)).alias("_n"))
-    joined = items.join(clean_attributes(articles), "article_id")
-    entries = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("value")) for c in ITEM_ATTRIBUTES])
-    counts = joined.select("_n", F.inline(entries)).groupBy("category", "value").agg(F.sum("_n").alias("purchases"))
+    joined = items.join(articles.select("article_id", *CHARTED_ATTRIBUTES), "article_id")
+    entries = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("value")) for c in CHARTED_ATTRIBUTES])
+    known = joined.select("_n", F.inline(entries)).where(F.col("value").isNotNull())
+    counts = known.groupBy("category", "value").agg(F.sum("_n").alias("purchases"))
     order = Window.partitionBy("category").orderBy(F.desc("purchases"), "value")
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 

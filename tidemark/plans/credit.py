@@ -266,12 +266,14 @@ def validate_feature_table(spark, folder):
     return contracts.feature_table_violations(broken, prefixes=("BUREAU_",))
 
 
-@query("upsert_registry", with_tables("application", e="""SELECT CASE NATION % 4 WHEN 0 THEN 'final' WHEN 1 THEN 'baseline'
-    WHEN 2 THEN 'bureau' ELSE 'other' END AS experiment, coalesce(SEGMENT, 'none') AS model, count(*) AS clients
-    FROM application WHERE TARGET = 0 GROUP BY ALL""", n="""SELECT CASE NATION % 4 WHEN 0 THEN 'final' WHEN 1
-    THEN 'baseline' WHEN 2 THEN 'bureau' ELSE 'pos_cash' END AS experiment, coalesce(SEGMENT, 'none') AS model,
+@query("upsert_registry", with_tables("application", e="""SELECT CASE NATION % 4 WHEN 0 THEN 'application_all_features'
+    WHEN 1 THEN 'application_logistic' WHEN 2 THEN 'application_bureau' ELSE 'other' END AS experiment, coalesce(SEGMENT, 'none') AS model, count(*) AS clients
+    FROM application WHERE TARGET = 0 GROUP BY ALL""", n="""SELECT CASE NATION % 4 WHEN 0 THEN
+    'application_all_features' WHEN 1 THEN 'application_logistic' WHEN 2 THEN 'application_bureau'
+    ELSE 'application_pos_cash' END AS experiment, coalesce(SEGMENT, 'none') AS model,
     count(*) AS clients FROM application WHERE TARGET = 1 GROUP BY ALL""") + """SELECT *, CASE experiment
-    WHEN 'baseline' THEN 1 WHEN 'bureau' THEN 2 WHEN 'pos_cash' THEN 5 WHEN 'final' THEN 7 ELSE 8 END AS position
+    WHEN 'application_logistic' THEN 1 WHEN 'application_bureau' THEN 3 WHEN 'application_pos_cash' THEN 6
+    WHEN 'application_all_features' THEN 8 ELSE 9 END AS position
     FROM (SELECT * FROM n UNION ALL SELECT e.* FROM e WHERE (experiment, model) NOT IN
     (SELECT (experiment, model) FROM n))""")
 def upsert_registry(spark, folder):
@@ -280,13 +282,14 @@ def upsert_registry(spark, folder):
 
     def registry(part, last):
         place = F.col("NATION") % 4
-        name = F.when(place == 0, "final").when(place == 1, "baseline").when(place == 2, "bureau").otherwise(last)
+        name = F.when(place == 0, "application_all_features").when(place == 1, "application_logistic").when(
+            place == 2, "application_bureau").otherwise(last)
         return part.groupBy(name.alias("experiment"), F.coalesce("SEGMENT", F.lit("none")).alias("model")).agg(
             F.count(F.lit(1)).alias("clients"))
 
     path = work_path(spark, "registry")
     registry(rows.where("TARGET = 0"), "other").write.parquet(path)
-    merged = sinks.upsert_registry(spark.read.parquet(path), registry(rows.where("TARGET = 1"), "pos_cash"))
+    merged = sinks.upsert_registry(spark.read.parquet(path), registry(rows.where("TARGET = 1"), "application_pos_cash"))
     return steadied(sinks.save_table(merged, path), {})
 
 

@@ -190,18 +190,21 @@ def explode_listings(spark, folder):
     return steadied(J.explode_listings(payloads_of(spark, folder)), {})
 
 
-@query("rank_listings", with_tables(l=LISTINGS) + """SELECT payload_id, item_no, name, salary_from, salary_to,
+@query("rank_listings", with_tables(l=LISTINGS, t="""SELECT payload_id, item_no, name, employer, url, snippet, salary_from, salary_to,
     coalesce(greatest(salary_from, salary_to), 0) AS best_salary, CASE WHEN salary_from IS NOT NULL AND salary_to IS NOT NULL
     THEN replace(format('{:,}', salary_from) || ' – ' || format('{:,}', salary_to), ',', ' ') || ' ' || sign
     WHEN salary_from IS NOT NULL THEN 'от ' || replace(format('{:,}', salary_from), ',', ' ') || ' ' || sign
     WHEN salary_to IS NOT NULL THEN 'до ' || replace(format('{:,}', salary_to), ',', ' ') || ' ' || sign
     ELSE 'не указана' END AS salary_text FROM (SELECT *, CASE currency WHEN 'RUR' THEN '₽' ELSE currency END AS sign FROM l
     WHERE lower(name) NOT LIKE '%менеджер%' AND lower(name) NOT LIKE '%small%')
-    ORDER BY best_salary DESC, payload_id, item_no LIMIT 20""")
+    ORDER BY best_salary DESC, payload_id, item_no LIMIT 20""", r="""SELECT *, row_number() OVER (ORDER BY best_salary DESC,
+    payload_id, item_no) AS place FROM t""") + """SELECT payload_id, item_no, place, best_salary, salary_text,
+    place || '. ' || name || chr(10) || '   Работодатель: ' || employer || chr(10) || '   Зарплата: ' || salary_text
+    || chr(10) || '   Ссылка: ' || url || chr(10) || '   Кратко: ' || snippet AS display FROM r""")
 def rank_listings(spark, folder):
     listings = J.explode_listings(payloads_of(spark, folder))
     top = J.rank_listings(listings, 20, (*J.EXCLUDED_WORDS, "small"))
-    return steadied(top.select("payload_id", "item_no", "name", "salary_from", "salary_to", "best_salary", "salary_text"), {})
+    return steadied(top.select("payload_id", "item_no", "place", "best_salary", "salary_text", "display"), {})
 
 
 LESSONS = """SELECT user_id % 20 AS grp, isodow(ts) AS day, CAST(hour(ts) AS BIGINT) AS code,

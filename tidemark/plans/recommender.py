@@ -268,7 +268,7 @@ def _scaled(column: str) -> str:
     return f"""coalesce(({column} - min({column}) OVER u) / nullif(max({column}) OVER u - min({column}) OVER u, 0), 0)"""
 
 
-HYBRID = f"""SELECT customer_id, article_id, round(CAST(0.3 AS DOUBLE) * {_scaled('content_similarity_score')}
+HYBRID = f"""SELECT customer_id, article_id, round(CAST(0.3 AS DOUBLE) * content_similarity_score
     + CAST(0.1 AS DOUBLE) * {_scaled('personal_history_score')}
     + CAST(0.1 AS DOUBLE) * {_scaled('popularity_score')}, 9) AS score
     FROM merged WHERE place <= 40 WINDOW u AS (PARTITION BY customer_id)"""
@@ -308,7 +308,7 @@ def top_k_with_fallback(spark, folder):
     recs AS (SELECT * FROM frequent WHERE CAST(customer_id AS BIGINT) % 3 <> 0)
     SELECT customer_id, k, 'personalized' AS source, rank, article_id FROM requests JOIN recs USING (customer_id)
     WHERE rank <= k UNION ALL
-    SELECT customer_id, k, 'popularity', popularity_rank, article_id FROM requests CROSS JOIN popular
+    SELECT customer_id, k, 'popularity_fallback', popularity_rank, article_id FROM requests CROSS JOIN popular
     WHERE customer_id NOT IN (SELECT customer_id FROM recs) AND popularity_rank <= k""")
 def recommend_lookup(spark, folder):
     """Two thirds of the users have stored lists; the others get popularity."""
@@ -458,9 +458,9 @@ def profile_coverage(spark, folder):
         C.transactions(spark, folder), C.customers(spark, folder), "customer_id", "age"), {})
 
 
-@query("popularity_by_category", with_tables("transactions", "articles", attrs=ATTRS, c="\nUNION ALL ".join(
-    f"""SELECT '{c}' AS category, {c} AS value, count(*) AS purchases FROM transactions JOIN attrs USING (article_id)
-    GROUP BY ALL""" for c in RF.ITEM_ATTRIBUTES)) + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category
+@query("popularity_by_category", with_tables("transactions", "articles", c="\nUNION ALL ".join(
+    f"""SELECT '{c}' AS category, {c} AS value, count(*) AS purchases FROM transactions JOIN articles USING (article_id)
+    WHERE {c} IS NOT NULL GROUP BY ALL""" for c in RF.CHARTED_ATTRIBUTES)) + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category
     ORDER BY purchases DESC, value) AS place FROM c) WHERE place <= 12""")
 def popularity_by_category(spark, folder):
     return steadied(RF.popularity_by_category(C.transactions(spark, folder), C.articles(spark, folder)), {})
