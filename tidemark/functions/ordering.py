@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpointed
+from tidemark.session import materialized
 
 BUCKETS_PER_OCTAVE = 1024
 HASH_BUCKET_DIGITS = 4
@@ -92,10 +92,10 @@ def global_position(df: DataFrame, column: str, name: str) -> DataFrame:
     """0-based position of each distinct value in sorted order.
 
     Strings have no arithmetic bucket, so the range partition itself is the
-    bucket.  Its boundaries come from a sample, therefore the partitioned rows
-    are checkpointed before they are read twice.
+    bucket.  Its boundaries come from a sample, therefore the rows are written
+    with their partition number before they are read twice.
     """
-    ranged = checkpointed(
+    ranged = materialized(
         df.select(column).where(F.col(column).isNotNull()).distinct()
         .repartitionByRange(column)
         .withColumn("_bucket", F.spark_partition_id())

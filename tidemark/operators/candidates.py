@@ -30,10 +30,19 @@ def _positive(limit: int) -> int:
     return limit
 
 
+def is_paired(history: DataFrame) -> bool:
+    """Whether a history is already counted per pair (see ``purchase_pairs``)."""
+    return "purchases" in history.columns
+
+
+def _purchases(history: DataFrame) -> Column:
+    return F.sum("purchases") if is_paired(history) else F.count(F.lit(1))
+
+
 def popular_items(history: DataFrame, limit: int = 100) -> DataFrame:
     """Top items by purchases, ties by id; only ``limit`` rows reach the rank."""
     top = (
-        history.groupBy("article_id").agg(F.count(F.lit(1)).alias("popularity_score"))
+        history.groupBy("article_id").agg(_purchases(history).alias("popularity_score"))
         .orderBy(F.desc("popularity_score"), "article_id").limit(_positive(limit))
     )
     order = Window.orderBy(F.desc("popularity_score"), "article_id")
@@ -57,6 +66,13 @@ def popularity_candidates(users: DataFrame, popular: DataFrame, limit: int = 30)
 
 
 def purchase_pairs(history: DataFrame) -> DataFrame:
+    """Purchases and last day per (user, item).
+
+    Every history operator accepts this table in place of the transactions, so
+    a flow counts them once and shares the result.
+    """
+    if is_paired(history):
+        return history
     return history.groupBy("customer_id", "article_id").agg(
         F.count(F.lit(1)).alias("purchases"), F.max("t_dat").alias("last_purchase")
     )

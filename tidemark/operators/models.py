@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidemark.operators import binary_metrics as B
 from tidemark.operators.credit import balanced_weights, classify_threshold, risk_bands
 from tidemark.operators.splits import stratified_kfold
-from tidemark.session import checkpointed
+from tidemark.session import materialized
 from tidemark.sources.contracts import ordered_features, select_model_features, validate_inference_input
 
 KEY, LABEL = "SK_ID_CURR", "TARGET"
@@ -128,7 +128,7 @@ def cv_out_of_fold(data: DataFrame, build: Builder, folds: int = 3, seed: int =
     """One prediction per row, made by a model that did not see its fold."""
     features = select_model_features(data)
     dealt = stratified_kfold(data.select(KEY, LABEL), folds, seed)
-    folded = checkpointed(data.join(dealt.select(KEY, "fold"), KEY))
+    folded = materialized(data.join(dealt.select(KEY, "fold"), KEY))
     parts = []
     for fold in range(folds):
         fit = balanced_weights(folded.where(F.col("fold") != fold))
@@ -157,8 +157,8 @@ def train_and_holdout(
     one-row holdout report.
     """
     features = select_model_features(data)
-    train = checkpointed(data.where("split = 'train'").drop("split"))
-    oof = checkpointed(cv_out_of_fold(train, build, folds, seed))
+    train = materialized(data.where("split = 'train'").drop("split"))
+    oof = materialized(cv_out_of_fold(train, build, folds, seed))
     threshold = B.select_f1_threshold(oof).first()["threshold"]
     cutoffs = B.risk_cutoffs(oof).first()
     summary = B.fold_summary(fold_metrics(oof)).first().asDict()

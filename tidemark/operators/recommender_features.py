@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.candidates import SOURCES
+from tidemark.operators.candidates import SOURCES, is_paired, purchase_pairs
 from tidemark.operators.splits import last_day
 from tidemark.sources.contracts import ContractError, require_columns
 
@@ -64,11 +64,9 @@ def item_features(history: DataFrame, reference: Column | None = None) -> DataFr
 
 def pair_features(history: DataFrame, reference: Column | None = None) -> DataFrame:
     reference = _reference(history, reference)
-    return history.groupBy("customer_id", "article_id").agg(
-        F.count(F.lit(1)).alias("user_item_purchase_count"), F.max("t_dat").alias("_last")
-    ).select(
-        "customer_id", "article_id", "user_item_purchase_count",
-        F.datediff(reference, F.col("_last")).alias("days_since_user_bought_item"),
+    return purchase_pairs(history).select(
+        "customer_id", "article_id", F.col("purchases").alias("user_item_purchase_count"),
+        F.datediff(reference, F.col("last_purchase")).alias("days_since_user_bought_item"),
         F.lit(1).alias("user_bought_item_before"),
     )
 
@@ -89,7 +87,7 @@ def category_affinity(history: DataFrame, articles: DataFrame) -> DataFrame:
     Purchases are counted per pair before the attribute join, so a best seller
     or a heavy buyer enters the join once per pair.
     """
-    pairs = history.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = purchase_pairs(history).select("customer_id", "article_id", F.col("purchases").alias("_n"))
     attributes = clean_attributes(articles).select("article_id", *AFFINITY_COLUMNS)
     joined = pairs.join(attributes, "article_id")
     entries = F.array(*[
@@ -102,20 +100,22 @@ def category_affinity(history: DataFrame, articles: DataFrame) -> DataFrame:
 
 def candidate_features(
     candidates: DataFrame, history: DataFrame, articles: DataFrame,
-    customers: DataFrame | None = None, reference: Column | None = None,
+    customers: DataFrame | None = None, reference: Column | None = None, pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Ranking table: candidates with every feature, no NULL left.
 
     The four affinity lookups share one join: a user's counts travel as a map
-    whose size is bounded by the attribute vocabulary.
+    whose size is bounded by the attribute vocabulary.  ``pairs`` shares pair
+    counts of the same history that already exist.
     """
     require_columns(history, ("customer_id", "article_id", "t_dat"), "history")
     reference = _reference(history, reference)
     users = user_features(history, customers, reference)
     items = item_features(history, reference)
-    pairs = pair_features(history, reference)
+    counted = history if pairs is None else pairs
+    pairs = pair_features(counted, reference)
     attributes = clean_attributes(articles)
-    affinity = category_affinity(history, articles).groupBy("customer_id").agg(
+    affinity = category_affinity(counted, articles).groupBy("customer_id").agg(
         F.map_from_entries(F.collect_list(F.struct(
             F.concat_ws("=", "category", "value").alias("key"), F.col("purchases").alias("value")
         ))).alias("_affinity")
@@ -156,13 +156,13 @@ def label_candidates(candidates: DataFrame, future: DataFrame) -> DataFrame:
 
 
 def interaction_confidence(history: DataFrame) -> DataFrame:
-    counts = history.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("purchase_count"))
+    counts = purchase_pairs(history).select("customer_id", "article_id", F.col("purchases").alias("purchase_count"))
     return counts.withColumn("confidence", 1.0 + F.log1p(F.col("purchase_count").cast("double")))
 
 
 def known_pairs(history: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Pair counts restricted to a saved vocabulary of users and items."""
-    counts = history.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("purchase_count"))
+    counts = purchase_pairs(history).select("customer_id", "article_id", F.col("purchases").alias("purchase_count"))
     return counts.join(items.select("article_id").distinct(), "article_id", "left_semi").join(
         users.select("customer_id").distinct(), "customer_id", "left_semi"
     )
@@ -170,7 +170,8 @@ def known_pairs(history: DataFrame, users: DataFrame, items: DataFrame) -> DataF
 
 def seen_items(history: DataFrame) -> DataFrame:
     """Distinct (user, item) pairs: the set in long form, safe for heavy users."""
-    return history.select("customer_id", "article_id").distinct()
+    pairs = history.select("customer_id", "article_id")
+    return pairs if is_paired(history) else pairs.distinct()
 
 
 def orphan_keys(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

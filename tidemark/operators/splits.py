@@ -14,8 +14,9 @@ WINDOW_NAMES = ("history_window_1", "history_window_2", "validation_history", "f
 
 
 def last_day(transactions: DataFrame):
-    """Latest purchase day as a scalar subquery."""
-    return transactions.agg(F.max("t_dat").alias("d")).scalar()
+    """Latest purchase day of transactions, or of pair counts, as a scalar subquery."""
+    day = "t_dat" if "t_dat" in transactions.columns else "last_purchase"
+    return transactions.agg(F.max(day).alias("d")).scalar()
 
 
 def temporal_split(transactions: DataFrame, future_days: int = 7) -> DataFrame:

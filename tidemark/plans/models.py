@@ -18,7 +18,7 @@ from tidemark.plans import batch_recommendations as BR
 from tidemark.plans import credit as PC
 from tidemark.plans import recommender as PR
 from tidemark.plans.registry import query, steadied, steady_sql, with_tables
-from tidemark.session import checkpointed, work_path
+from tidemark.session import materialized, work_path
 from tidemark.sources import canonical as C
 from tidemark.sources import contracts, readers, sinks
 
@@ -48,7 +48,7 @@ def one_hot_items(spark, folder):
 @query("user_profiles", PR.base(*BASE, items=ITEMS, weighted=WEIGHTED, profiles=PROFILES) + f"""SELECT customer_id,
     feature, {steady_sql('weight')} AS weight FROM profiles""")
 def user_profiles(spark, folder):
-    return steadied(CT.user_profiles(PR.history_of(spark, folder), C.articles(spark, folder)), {})
+    return steadied(CT.user_profiles(PR.direct(spark, folder).history, C.articles(spark, folder)), {})
 
 
 @query("content_candidates", PR.base(*BASE, items=ITEMS, weighted=WEIGHTED, profiles=PROFILES, scores=SCORES, c=CONTENT) + f"""
@@ -56,9 +56,9 @@ def user_profiles(spark, folder):
     WHERE rank <= 50""")
 def content_candidates(spark, folder):
     """All customers: those without history get the completion list."""
-    history, articles = PR.history_of(spark, folder), C.articles(spark, folder)
+    case, articles = PR.Case(spark, folder), C.articles(spark, folder)
     found = CT.content_candidates(
-        CT.user_profiles(history, articles), articles, history, PR.popular_of(spark, folder), C.customers(spark, folder))
+        CT.user_profiles(case.pairs, articles), articles, case.pairs, case.popular, C.customers(spark, folder))
     return steadied(found, {})
 
 
@@ -68,7 +68,7 @@ def fit_als(history):
 
 @query("als_train")
 def als_train(spark, folder):
-    users, items = A.factor_tables(fit_als(PR.history_of(spark, folder)))
+    users, items = A.factor_tables(fit_als(PR.Case(spark, folder).pairs))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
     return users.select(F.lit("user").alias("side"), F.col("customer_id").alias("id"), norm.alias("norm")).unionByName(
         items.select(F.lit("item").alias("side"), F.col("article_id").alias("id"), norm.alias("norm")))
@@ -76,8 +76,8 @@ def als_train(spark, folder):
 
 @query("als_candidates")
 def als_candidates(spark, folder):
-    history = PR.history_of(spark, folder)
-    return A.als_candidates(fit_als(history), history)
+    pairs = PR.Case(spark, folder).pairs
+    return A.als_candidates(fit_als(pairs), pairs)
 
 
 # --- credit models -----------------------------------------------------------
@@ -105,19 +105,19 @@ def fitted(data, build):
 
 @query("logistic_pipeline")
 def logistic_pipeline(spark, folder):
-    data = checkpointed(modeling_data(spark, folder))
+    data = materialized(modeling_data(spark, folder))
     return M.score(fitted(data, short_logistic), data, [M.KEY, M.LABEL, "split"])
 
 
 @query("boosted_trees")
 def boosted_trees(spark, folder):
-    data = checkpointed(modeling_data(spark, folder))
+    data = materialized(modeling_data(spark, folder))
     return M.score(fitted(data, short_trees), data, [M.KEY, M.LABEL, "split"])
 
 
 @query("feature_importance")
 def feature_importance(spark, folder):
-    data = checkpointed(modeling_data(spark, folder))
+    data = materialized(modeling_data(spark, folder))
     return M.feature_importance(fitted(data, short_logistic), data)
 
 
@@ -128,7 +128,7 @@ def cv_out_of_fold(spark, folder):
 
 @query("train_and_holdout")
 def train_and_holdout(spark, folder):
-    return M.train_and_holdout(checkpointed(modeling_data(spark, folder)), short_logistic)[2]
+    return M.train_and_holdout(materialized(modeling_data(spark, folder)), short_logistic)[2]
 
 
 DETAILS = {"threshold": 0.5, "low_cutoff": 0.4, "high_cutoff": 0.6}
@@ -136,14 +136,14 @@ DETAILS = {"threshold": 0.5, "low_cutoff": 0.4, "high_cutoff": 0.6}
 
 @query("evaluate_holdout")
 def evaluate_holdout(spark, folder):
-    data = checkpointed(modeling_data(spark, folder))
+    data = materialized(modeling_data(spark, folder))
     return M.evaluate_holdout(fitted(data, short_logistic), data, DETAILS)
 
 
 @query("predict_batch")
 def predict_batch(spark, folder):
     """Bare applications come in; their features are assembled on the way."""
-    data = checkpointed(modeling_data(spark, folder))
+    data = materialized(modeling_data(spark, folder))
     details = {**DETAILS, "features": contracts.select_model_features(data)}
     tables = PC.feature_tables(spark, folder)
     return M.predict_batch(
@@ -155,7 +155,7 @@ def predict_batch(spark, folder):
 @query("model_bundle")
 def model_bundle(spark, folder):
     """Save, load again and score with the loaded bundle."""
-    data = checkpointed(modeling_data(spark, folder))
+    data = materialized(modeling_data(spark, folder))
     path = work_path(spark, "bundle")
     sinks.save_bundle(fitted(data, short_logistic), path, {**DETAILS, "features": contracts.select_model_features(data)})
     model, details = sinks.load_bundle(spark, path)
@@ -165,28 +165,29 @@ def model_bundle(spark, folder):
 # --- ranker ------------------------------------------------------------------
 
 def ranker_parts(spark, folder):
-    history, future = PR.parts(spark, folder)
-    history, future = checkpointed(history), checkpointed(future)
+    case = PR.Case(spark, folder)
     articles, customers = C.articles(spark, folder), C.customers(spark, folder)
-    candidates = PR.merged_of(spark, folder)
-    table = BR.ranking_table(candidates, history, future, articles, customers)
-    return BR.train_ranker(table, iterations=3, depth=3), history, articles, customers, candidates
+    candidates = materialized(case.merged, "candidates")
+    table = BR.ranking_table(candidates, case.history, case.future, articles, customers, case.pairs)
+    return BR.train_ranker(table, iterations=3, depth=3), case, articles, customers, candidates
 
 
 @query("ranker_score")
 def ranker_score(spark, folder):
     from tidemark.operators import recommender_features as RF
 
-    ranker, history, articles, customers, candidates = ranker_parts(spark, folder)
-    return M.ranker_score(ranker, RF.candidate_features(candidates, history, articles, customers))
+    ranker, case, articles, customers, candidates = ranker_parts(spark, folder)
+    wide = RF.candidate_features(candidates, case.history, articles, customers, pairs=case.pairs)
+    return M.ranker_score(ranker, wide)
 
 
 @query("batch_recommendations")
 def batch_recommendations(spark, folder):
     ranker, _, articles, customers, _ = ranker_parts(spark, folder)
-    everything = checkpointed(C.transactions(spark, folder))
+    everything = materialized(C.transactions(spark, folder), "transactions")
+    pairs = materialized(K.purchase_pairs(everything), "pairs")
     return BR.batch_recommendations(
-        everything, articles, customers, ranker, fit_als(everything), work_path(spark, "final_recommendations"))
+        everything, articles, customers, ranker, fit_als(pairs), work_path(spark, "final_recommendations"), pairs=pairs)
 
 
 # --- contracts as queries ----------------------------------------------------

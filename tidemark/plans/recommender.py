@@ -6,6 +6,8 @@ random, so a week and twelve items would score zero everywhere.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import candidates as K
@@ -15,7 +17,7 @@ from tidemark.operators import splits
 from tidemark.plans.registry import query, steadied, steady, steady_sql, with_tables
 from tidemark.sources import canonical as C
 from tidemark.sources import readers, sinks
-from tidemark.session import work_path
+from tidemark.session import materialized, work_path
 
 HORIZON = 90
 LIST = 200
@@ -74,43 +76,71 @@ def base(*names: str, **extra: str) -> str:
     return with_tables(*tables, **{n: b for n, b in steps.items() if n in names}, **extra)
 
 
-def parts(spark, folder):
-    return splits.history_and_future(C.transactions(spark, folder), HORIZON)
+class Case:
+    """Shared inputs of one query.
 
+    With ``reuse`` the transactions and the pair counts, which several steps of
+    the query read, are materialised once instead of being joined again by each.
+    """
 
-def history_of(spark, folder):
-    return parts(spark, folder)[0]
+    def __init__(self, spark, folder, reuse: bool = True) -> None:
+        self.spark, self.folder, self.reuse = spark, folder, reuse
 
+    def _shared(self, df, name):
+        return materialized(df, name) if self.reuse else df
 
-def truth_of(spark, folder):
-    return splits.ground_truth(*parts(spark, folder))
+    @cached_property
+    def split(self):
+        return splits.history_and_future(self._shared(C.transactions(self.spark, self.folder), "transactions"), HORIZON)
 
+    @property
+    def history(self):
+        return self.split[0]
 
-def popular_of(spark, folder, n=LIST):
-    return K.popular_items(history_of(spark, folder), n)
+    @property
+    def future(self):
+        return self.split[1]
 
+    @cached_property
+    def pairs(self):
+        return self._shared(K.purchase_pairs(self.history), "pairs")
 
-def users_of(spark, folder):
-    return history_of(spark, folder).select("customer_id").distinct()
+    @cached_property
+    def users(self):
+        return self.pairs.select("customer_id").distinct()
 
+    @cached_property
+    def popular(self):
+        return K.popular_items(self.pairs if self.reuse else self.history, LIST)
 
-def popular_lists(spark, folder):
-    """The popular list for every truth user: the simplest recommender."""
-    users = truth_of(spark, folder).select("customer_id").distinct()
-    listed = K.popularity_candidates(users, popular_of(spark, folder), LIST)
-    return listed.withColumnRenamed("popularity_rank", "rank")
+    @cached_property
+    def truth(self):
+        return splits.ground_truth(self.history, self.future)
 
+    @cached_property
+    def poplist(self):
+        return K.popularity_candidates(self.users, self.popular)
 
-def merged_of(spark, folder, limit=40):
-    history = history_of(spark, folder)
-    recent = K.recent_history(history).select(
-        "customer_id", "article_id", F.col("recent_score").alias("content_similarity_score"),
-        F.col("recent_rank").alias("content_rank"),
-    )
-    return K.merge_candidate_sources({
-        "content_based": recent, "personal_history": K.personal_history(history),
-        "popularity": K.popularity_candidates(users_of(spark, folder), popular_of(spark, folder)),
-    }, limit)
+    @cached_property
+    def popular_lists(self):
+        """The popular list for every truth user: the simplest recommender."""
+        listed = K.popularity_candidates(self.truth.select("customer_id").distinct(), self.popular, LIST)
+        return listed.withColumnRenamed("popularity_rank", "rank")
+
+    @cached_property
+    def merged(self):
+        recent = K.recent_history(self.pairs).select(
+            "customer_id", "article_id", F.col("recent_score").alias("content_similarity_score"),
+            F.col("recent_rank").alias("content_rank"),
+        )
+        return K.merge_candidate_sources({
+            "content_based": recent, "personal_history": K.personal_history(self.pairs), "popularity": self.poplist,
+        }, 40)
+
+
+def direct(spark, folder) -> Case:
+    """Inputs for queries that read the history once."""
+    return Case(spark, folder, reuse=False)
 
 
 # --- sources -----------------------------------------------------------------
@@ -175,7 +205,8 @@ def temporal_windows(spark, folder):
 @query("ground_truth", base("history", "future", "truth") + """SELECT customer_id, article_id, first_date,
     row_number() OVER (PARTITION BY customer_id ORDER BY first_date, article_id) AS position FROM truth""")
 def ground_truth(spark, folder):
-    return truth_of(spark, folder)
+    case = direct(spark, folder)
+    return case.truth
 
 
 @query("cold_start_users", with_tables("transactions") + """SELECT DISTINCT customer_id FROM transactions
@@ -191,32 +222,37 @@ def cold_start_users(spark, folder):
 @query("cohort_sample", base("history", "future", "truth") + """SELECT customer_id FROM
     (SELECT DISTINCT customer_id FROM truth) ORDER BY md5(customer_id || '|42'), customer_id LIMIT 300""")
 def cohort_sample(spark, folder):
-    return splits.cohort_sample(truth_of(spark, folder), 300)
+    case = direct(spark, folder)
+    return splits.cohort_sample(case.truth, 300)
 
 
 # --- candidates --------------------------------------------------------------
 
 @query("popular_items", base("history", "popular") + "SELECT * FROM popular")
 def popular_items(spark, folder):
-    return steadied(popular_of(spark, folder), {})
+    case = direct(spark, folder)
+    return steadied(case.popular, {})
 
 
 @query("popularity_candidates", base("history", "users", "popular", "poplist") + """SELECT customer_id, article_id,
     score AS popularity_score, rank AS popularity_rank FROM poplist""")
 def popularity_candidates(spark, folder):
-    return steadied(K.popularity_candidates(users_of(spark, folder), popular_of(spark, folder)), {})
+    case = Case(spark, folder)
+    return steadied(case.poplist, {})
 
 
 @query("personal_history", base("history", "pairs", "frequent") + """SELECT customer_id, article_id,
     score AS personal_history_score, rank AS personal_history_rank FROM frequent""")
 def personal_history(spark, folder):
-    return steadied(K.personal_history(history_of(spark, folder)), {})
+    case = direct(spark, folder)
+    return steadied(K.personal_history(case.history), {})
 
 
 @query("recent_history", base("history", "pairs", "recent") + f"""SELECT customer_id, article_id,
     {steady_sql('score')} AS recent_score, rank AS recent_rank FROM recent""")
 def recent_history(spark, folder):
-    return steadied(K.recent_history(history_of(spark, folder)), {})
+    case = direct(spark, folder)
+    return steadied(K.recent_history(case.history), {})
 
 
 @query("personal_history_blend", base("history", "pairs", "frequent", "recent") + f"""SELECT customer_id, article_id,
@@ -224,19 +260,16 @@ def recent_history(spark, folder):
     FROM (SELECT customer_id, article_id, CAST(score AS DOUBLE) AS score, rank FROM recent
     UNION ALL SELECT customer_id, article_id, score, rank FROM frequent) GROUP BY customer_id, article_id""")
 def personal_history_blend(spark, folder):
-    history = history_of(spark, folder)
-    return steadied(K.personal_history_blend(K.recent_history(history), K.personal_history(history)), {})
+    case = Case(spark, folder)
+    return steadied(K.personal_history_blend(K.recent_history(case.pairs), K.personal_history(case.pairs)), {})
 
 
 @query("candidate_union", base("history", "users", "popular", "pairs", "frequent", "recent", "poplist") + """
     SELECT customer_id, article_id FROM recent UNION SELECT customer_id, article_id FROM frequent
     UNION SELECT customer_id, article_id FROM poplist""")
 def candidate_union(spark, folder):
-    history = history_of(spark, folder)
-    return K.candidate_union(
-        K.recent_history(history), K.personal_history(history),
-        K.popularity_candidates(users_of(spark, folder), popular_of(spark, folder)),
-    )
+    case = Case(spark, folder)
+    return K.candidate_union(K.recent_history(case.pairs), K.personal_history(case.pairs), case.poplist)
 
 
 MERGE_STEPS = ("history", "users", "popular", "pairs", "frequent", "recent", "poplist", "merged")
@@ -249,7 +282,8 @@ MERGE_STEPS = ("history", "users", "popular", "pairs", "frequent", "recent", "po
     {steady_sql('popularity_score')} AS popularity_score, popularity_rank, from_popularity,
     number_of_candidate_sources FROM merged WHERE place <= 40""")
 def merge_candidate_sources(spark, folder):
-    return steadied(merged_of(spark, folder), {})
+    case = Case(spark, folder)
+    return steadied(case.merged, {})
 
 
 @query("minmax_per_user", base(*MERGE_STEPS, b="SELECT * FROM merged WHERE place <= 40") + f"""
@@ -260,8 +294,9 @@ def merge_candidate_sources(spark, folder):
     / nullif(max(personal_history_score) OVER u - min(personal_history_score) OVER u, 0), 0)''')}
     AS personal_history_score FROM b WINDOW u AS (PARTITION BY customer_id)""")
 def minmax_per_user(spark, folder):
+    case = Case(spark, folder)
     names = ["popularity_score", "personal_history_score"]
-    return steadied(K.minmax_per_user(merged_of(spark, folder), names).select("customer_id", "article_id", *names), {})
+    return steadied(K.minmax_per_user(case.merged, names).select("customer_id", "article_id", *names), {})
 
 
 def _scaled(column: str) -> str:
@@ -278,7 +313,8 @@ HYBRID = f"""SELECT customer_id, article_id, round(CAST(0.3 AS DOUBLE) * content
     rank FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS rank FROM h)
     WHERE rank <= 12""")
 def simple_hybrid(spark, folder):
-    return steadied(K.simple_hybrid(merged_of(spark, folder)), {})
+    case = Case(spark, folder)
+    return steadied(K.simple_hybrid(case.merged), {})
 
 
 TOPK = """SELECT customer_id, article_id, rank, score FROM (
@@ -296,11 +332,12 @@ TOPK = """SELECT customer_id, article_id, rank, score FROM (
     + f"SELECT customer_id, article_id, rank, {steady_sql('CAST(score AS DOUBLE)')} AS score FROM topk")
 def top_k_with_fallback(spark, folder):
     """Only repeat purchases are scored, so most lists need the fallback."""
-    scored = K.purchase_pairs(history_of(spark, folder)).where("purchases >= 2").select(
+    case = Case(spark, folder)
+    scored = case.pairs.where("purchases >= 2").select(
         "customer_id", "article_id", F.col("purchases").cast("double").alias("score")
     )
     users = C.customers(spark, folder).select("customer_id")
-    return steadied(K.top_k_with_fallback(scored, popular_of(spark, folder), 12, users), {})
+    return steadied(K.top_k_with_fallback(scored, case.popular, 12, users), {})
 
 
 @query("recommend_lookup", base("history", "popular", "pairs", "frequent") + """, requests AS (
@@ -312,18 +349,20 @@ def top_k_with_fallback(spark, folder):
     WHERE customer_id NOT IN (SELECT customer_id FROM recs) AND popularity_rank <= k""")
 def recommend_lookup(spark, folder):
     """Two thirds of the users have stored lists; the others get popularity."""
+    case = Case(spark, folder)
     requests = C.customers(spark, folder).select(
         "customer_id", (F.col("customer_id").cast("bigint") % 50 + 1).alias("k")
     )
-    stored = K.personal_history(history_of(spark, folder)).where(F.col("customer_id").cast("bigint") % 3 != 0)
+    stored = K.personal_history(case.pairs).where(F.col("customer_id").cast("bigint") % 3 != 0)
     stored = stored.withColumnRenamed("personal_history_rank", "rank")
-    return steadied(K.recommend_lookup(requests, stored, popular_of(spark, folder)), {})
+    return steadied(K.recommend_lookup(requests, stored, case.popular), {})
 
 
 @query("write_recommendations", base("history", "pairs", "frequent") + f"""SELECT customer_id, article_id, rank,
     {steady_sql('CAST(score AS DOUBLE)')} AS score FROM frequent""")
 def write_recommendations(spark, folder):
-    recs = K.personal_history(history_of(spark, folder)).toDF("customer_id", "article_id", "score", "rank")
+    case = direct(spark, folder)
+    recs = K.personal_history(case.history).toDF("customer_id", "article_id", "score", "rank")
     path = work_path(spark, "recommendations")
     sinks.write_recommendations(recs, path)
     return steadied(sinks.read_recommendations(spark, path), {})
@@ -352,23 +391,27 @@ AF = "\nUNION ALL ".join(
     {steady_sql('user_average_price', 4)} AS user_average_price, {steady_sql('user_online_share')} AS user_online_share)
     FROM uf""")
 def user_features(spark, folder):
-    return steadied(RF.user_features(history_of(spark, folder), C.customers(spark, folder)), {"user_average_price": 4})
+    case = direct(spark, folder)
+    return steadied(RF.user_features(case.history, C.customers(spark, folder)), {"user_average_price": 4})
 
 
 @query("item_features", base("history", f=IF) + f"""SELECT * REPLACE ({steady_sql('item_average_price', 4)}
     AS item_average_price) FROM f""")
 def item_features(spark, folder):
-    return steadied(RF.item_features(history_of(spark, folder)), {"item_average_price": 4})
+    case = direct(spark, folder)
+    return steadied(RF.item_features(case.history), {"item_average_price": 4})
 
 
 @query("pair_features", base("history", f=PF) + "SELECT * FROM f")
 def pair_features(spark, folder):
-    return steadied(RF.pair_features(history_of(spark, folder)), {})
+    case = direct(spark, folder)
+    return steadied(RF.pair_features(case.history), {})
 
 
 @query("category_affinity", base("history", "articles", "attrs", f=AF) + "SELECT * FROM f")
 def category_affinity(spark, folder):
-    return RF.category_affinity(history_of(spark, folder), C.articles(spark, folder))
+    case = direct(spark, folder)
+    return RF.category_affinity(case.history, C.articles(spark, folder))
 
 
 @query("candidate_features", base(*MERGE_STEPS, "articles", "customers", "attrs", uf=UF, itf=IF, pf=PF, af=AF) + f"""
@@ -391,8 +434,9 @@ def category_affinity(spark, folder):
     {' '.join(f"LEFT JOIN af f{i} ON f{i}.customer_id = m.customer_id AND f{i}.category = '{c}' AND f{i}.value = a.{c}"
               for i, c in enumerate(RF.AFFINITY_COLUMNS))}""")
 def candidate_features(spark, folder):
+    case = Case(spark, folder)
     wide = RF.candidate_features(
-        merged_of(spark, folder), history_of(spark, folder), C.articles(spark, folder), C.customers(spark, folder)
+        case.merged, case.history, C.articles(spark, folder), C.customers(spark, folder), pairs=case.pairs
     )
     return steadied(wide, {"user_average_price": 4, "item_average_price": 4})
 
@@ -401,7 +445,8 @@ def candidate_features(spark, folder):
     CASE WHEN (customer_id, article_id) IN (SELECT (customer_id, article_id) FROM future) THEN 1 ELSE 0 END AS target
     FROM merged WHERE place <= 40""")
 def label_candidates(spark, folder):
-    labelled = RF.label_candidates(merged_of(spark, folder), parts(spark, folder)[1])
+    case = Case(spark, folder)
+    labelled = RF.label_candidates(case.merged, case.future)
     return steadied(labelled.select("customer_id", "article_id", "target"), {})
 
 
@@ -411,34 +456,39 @@ def label_candidates(spark, folder):
     PARTITION BY target ORDER BY md5(customer_id || '|' || article_id || '|42'), customer_id, article_id) AS n FROM lab)
     WHERE target = 1 OR n <= 10 * (SELECT sum(target) FROM lab)""")
 def negative_sampling(spark, folder):
-    labelled = RF.label_candidates(merged_of(spark, folder), parts(spark, folder)[1])
+    case = Case(spark, folder)
+    labelled = RF.label_candidates(case.merged, case.future)
     return steadied(splits.negative_sampling(labelled.select("customer_id", "article_id", "target")), {})
 
 
 @query("interaction_confidence", base("history") + f"""SELECT customer_id, article_id, count(*) AS purchase_count,
     {steady_sql('1 + ln(1 + count(*))')} AS confidence FROM history GROUP BY ALL""")
 def interaction_confidence(spark, folder):
-    return steadied(RF.interaction_confidence(history_of(spark, folder)), {})
+    case = direct(spark, folder)
+    return steadied(RF.interaction_confidence(case.history), {})
 
 
 @query("dense_ids", base("history") + """SELECT customer_id, row_number() OVER (ORDER BY customer_id) - 1 AS id
     FROM (SELECT DISTINCT customer_id FROM history)""")
 def dense_ids(spark, folder):
+    case = direct(spark, folder)
     from tidemark.functions.ordering import global_position
 
-    return global_position(history_of(spark, folder), "customer_id", "id")
+    return global_position(case.history, "customer_id", "id")
 
 
 @query("seen_items", base("history") + "SELECT DISTINCT customer_id, article_id FROM history")
 def seen_items(spark, folder):
-    return RF.seen_items(history_of(spark, folder))
+    case = direct(spark, folder)
+    return RF.seen_items(case.history)
 
 
 @query("known_pairs", base("history", "future") + """SELECT customer_id, article_id, count(*) AS purchase_count FROM future
     WHERE customer_id IN (SELECT customer_id FROM history) AND article_id IN (SELECT article_id FROM history)
     GROUP BY ALL""")
 def known_pairs(spark, folder):
-    history, future = parts(spark, folder)
+    case = direct(spark, folder)
+    history, future = case.split
     return RF.known_pairs(future, history, history)
 
 
@@ -496,19 +546,22 @@ PER_USER = """SELECT t.customer_id, n, coalesce(hits, 0) AS hits, coalesce(ap, 0
 @query("recall_at_k", base(*METRIC_STEPS, u=PER_USER) + f"""SELECT count(*) AS users,
     {steady_sql('avg(CAST(hits AS DOUBLE) / n)')} AS recall FROM u""")
 def recall_at_k(spark, folder):
-    return steadied(R.recall_at_k(truth_of(spark, folder), popular_lists(spark, folder), LIST), {})
+    case = Case(spark, folder)
+    return steadied(R.recall_at_k(case.truth, case.popular_lists, LIST), {})
 
 
 @query("map_at_k", base(*METRIC_STEPS, u=PER_USER) + f"""SELECT count(*) AS users,
     {steady_sql(f'avg(ap / least(n, {LIST}))')} AS map FROM u""")
 def map_at_k(spark, folder):
-    return steadied(R.map_at_k(truth_of(spark, folder), popular_lists(spark, folder), LIST), {})
+    case = Case(spark, folder)
+    return steadied(R.map_at_k(case.truth, case.popular_lists, LIST), {})
 
 
 @query("hit_rate_at_k", base(*METRIC_STEPS, u=PER_USER) + f"""SELECT count(*) AS users,
     {steady_sql('avg(CAST(hits > 0 AS DOUBLE))')} AS hit_rate FROM u""")
 def hit_rate_at_k(spark, folder):
-    return steadied(R.hit_rate_at_k(truth_of(spark, folder), popular_lists(spark, folder), LIST), {})
+    case = Case(spark, folder)
+    return steadied(R.hit_rate_at_k(case.truth, case.popular_lists, LIST), {})
 
 
 @query("candidate_recall", base(*MERGE_STEPS, "future", "truth") + f"""SELECT count(*) AS users,
@@ -516,17 +569,18 @@ def hit_rate_at_k(spark, folder):
     avg(CASE WHEN m.article_id IS NULL THEN CAST(0 AS DOUBLE) ELSE 1 END) AS r FROM truth t
     LEFT JOIN (SELECT * FROM merged WHERE place <= 40) m USING (customer_id, article_id) GROUP BY t.customer_id)""")
 def candidate_recall(spark, folder):
-    listed = merged_of(spark, folder).withColumn("rank", F.lit(1))
-    return steadied(R.candidate_recall(truth_of(spark, folder), listed, 40), {})
+    case = Case(spark, folder)
+    listed = case.merged.withColumn("rank", F.lit(1))
+    return steadied(R.candidate_recall(case.truth, listed, 40), {})
 
 
-def capped_sources(spark, folder):
-    history = history_of(spark, folder)
+def capped_sources(case):
+    history = case.history
     shape = ("source", "customer_id", "article_id", "rank", "cap")
     frames = [
-        (K.recent_history(history), "recent", "recent_rank", 20),
-        (K.personal_history(history), "frequent", "personal_history_rank", 20),
-        (K.popularity_candidates(users_of(spark, folder), popular_of(spark, folder)), "popularity", "popularity_rank", 30),
+        (K.recent_history(case.pairs), "recent", "recent_rank", 20),
+        (K.personal_history(case.pairs), "frequent", "personal_history_rank", 20),
+        (K.popularity_candidates(case.users, case.popular), "popularity", "popularity_rank", 30),
     ]
     stacked = None
     for frame, name, rank, cap in frames:
@@ -545,7 +599,8 @@ def capped_sources(spark, folder):
     JOIN (SELECT customer_id, count(*) AS n FROM truth GROUP BY ALL) USING (customer_id)
     LEFT JOIN truth t USING (customer_id, article_id) GROUP BY source, customer_id) GROUP BY source) USING (source)""")
 def candidate_source_report(spark, folder):
-    return steadied(R.candidate_source_report(truth_of(spark, folder), capped_sources(spark, folder)), {})
+    case = Case(spark, folder)
+    return steadied(R.candidate_source_report(case.truth, capped_sources(case)), {})
 
 
 @query("candidate_stats", base(*[s for s in MERGE_STEPS if s != "merged"], s="""
@@ -556,7 +611,8 @@ def candidate_source_report(spark, folder):
     {steady_sql('quantile_cont(n, 0.5)')} AS p50_length, {steady_sql('quantile_cont(n, 0.75)')} AS p75_length,
     max(n) AS max_length, CAST(sum(d) AS BIGINT) AS duplicate_pairs FROM l""")
 def candidate_stats(spark, folder):
-    return steadied(R.candidate_stats(capped_sources(spark, folder)), {})
+    case = Case(spark, folder)
+    return steadied(R.candidate_stats(capped_sources(case)), {})
 
 
 @query("model_comparison", base(*METRIC_STEPS, "pairs", "frequent", u=PER_USER, u2=PER_USER.replace(
@@ -567,10 +623,11 @@ def candidate_stats(spark, folder):
     {steady_sql('avg(ap / least(n, 20))')}, {steady_sql('avg(CAST(hits > 0 AS DOUBLE))')},
     {steady_sql('avg(CAST(hits AS DOUBLE) / n)')} FROM u2""")
 def model_comparison(spark, folder):
-    truth = truth_of(spark, folder)
-    own = K.personal_history(history_of(spark, folder)).withColumnRenamed("personal_history_rank", "rank")
+    case = Case(spark, folder)
+    truth = case.truth
+    own = K.personal_history(case.pairs).withColumnRenamed("personal_history_rank", "rank")
     reports = {
-        "popularity": R.ranking_report(truth, popular_lists(spark, folder), LIST),
+        "popularity": R.ranking_report(truth, case.popular_lists, LIST),
         "personal_history": R.ranking_report(truth, own, 20).withColumn("candidate_recall", F.col("recall")),
     }
     return steadied(R.model_comparison(reports), {})

@@ -1,6 +1,6 @@
 """Structured Streaming forms of the update log, dialogue memory and ingestion.
 
-Each flow is a source, a transformation and a checkpointed sink.  ``run`` uses
+Each flow is a source, a transformation and a materialized sink.  ``run`` uses
 ``availableNow``, so the same code drains a backlog and then stops; a service
 would pass its own trigger.
 """
