@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.ordering import salted_join
+from tidemark.session import materialized
 from tidemark.operators.tiles import dense_scores, ranked, sparse_scores, tile_top_k
 
 # Wording of the extractive answer.
@@ -17,6 +18,7 @@ ANSWER_HEAD = "Ниже приведены наиболее релевантны
 ANSWER_SOURCES = "\n\nИсточники:\n"
 
 CHUNK = ("material_id", "chunk_no")
+BROADCAST_TERMS = 500_000  # words; about 20 MB as a broadcast table
 
 
 def term_counts(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,17 +38,35 @@ def inverse_frequencies(counts: DataFrame, chunks: DataFrame, collection: Sequen
     return sized.select(*collection, "term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0).alias("idf"))
 
 
-def tfidf_index(chunks: DataFrame, collection: Sequence[str] = ("material_id",), keys: Sequence[str] = CHUNK) -> DataFrame:
+def _with_idf(counts: DataFrame, idf: DataFrame, collection: Sequence[str]) -> DataFrame:
+    """Counts with ``idf``; frequent words of one corpus are hot join keys.
+
+    A corpus vocabulary below the checked bound is broadcast, a larger one
+    joins by word and salt.
+    """
+    if collection:
+        return counts.join(idf, [*collection, "term"])
+    if idf.count() <= BROADCAST_TERMS:
+        return counts.join(F.broadcast(idf), "term")
+    return salted_join(counts, idf, ["term"])
+
+
+def tfidf_index(
+    chunks: DataFrame, collection: Sequence[str] = ("material_id",), keys: Sequence[str] = CHUNK,
+    counts: DataFrame | None = None, idf: DataFrame | None = None,
+) -> DataFrame:
     """``keys, term, weight`` with unit length per chunk.
 
-    In one corpus-wide collection frequent words are hot join keys, so that join
-    is salted; a chunk's own terms are few, so its norm is a window.
+    Texts are tokenised once; ``counts`` and ``idf`` may be given when the
+    caller has them.  A chunk's own terms are few, so its norm is a window.
     """
     keys, collection = list(keys), list(collection)
-    counts = term_counts(chunks, keys)
-    idf = inverse_frequencies(counts, chunks, collection)
-    joined = counts.join(idf, [*collection, "term"]) if collection else salted_join(counts, idf, ["term"])
-    raw = joined.withColumn("_w", F.col("tf") * F.col("idf"))
+    if counts is None:
+        counts = materialized(term_counts(chunks, keys), "term_counts")
+    if idf is None:
+        idf = inverse_frequencies(counts, chunks, collection)
+        idf = idf if collection else materialized(idf, "idf")
+    raw = _with_idf(counts, idf, collection).withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", (F.col("_w") / norm).alias("weight"))
 
@@ -67,8 +87,9 @@ def tfidf_search(
     chunk order.
     """
     keys = list(keys)
-    counts = term_counts(chunks, keys)
-    idf = inverse_frequencies(counts, chunks, [])
+    chunks = materialized(chunks, "chunks")
+    counts = materialized(term_counts(chunks, keys), "term_counts")
+    idf = materialized(inverse_frequencies(counts, chunks, []), "idf")
     raw = term_counts(questions, ["question_id"]).join(idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("question_id")))
     asked = _vectors(raw.select("question_id", "term", (F.col("_w") / norm).alias("weight")), ["question_id"])
@@ -78,7 +99,7 @@ def tfidf_search(
         return everything.select(*key).join(vectors, list(key), "left").select(
             *key, F.coalesce("terms", empty_terms).alias("terms"), F.coalesce("weights", empty_weights).alias("weights"))
 
-    index = _vectors(tfidf_index(chunks, [], keys), keys)
+    index = _vectors(tfidf_index(chunks, [], keys, counts, idf), keys)
     winners = tile_top_k(
         complete(asked, questions, ["question_id"]), complete(index, chunks, keys), sparse_scores, max(1, top_k),
         "question_id", keys, queries_per_bucket=queries_per_bucket, items_per_block=items_per_block,

@@ -24,6 +24,12 @@ def _months(column: str):
     return F.floor(_days(column) / 30).cast("int")
 
 
+def _article_id(key: str):
+    """Ten digits at least; a number needs no text clean-up."""
+    text = F.col(key).cast("string")
+    return F.when(F.col(key) < 10**10, F.lpad(text, 10, "0")).otherwise(text)
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").join(
         table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
@@ -33,7 +39,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     return lines(spark, folder).select(
         F.col("o_custkey").cast("string").alias("customer_id"),
-        S.normalize_article_id("l_partkey").alias("article_id"),
+        _article_id("l_partkey").alias("article_id"),
         F.col("o_orderdate").cast("date").alias("t_dat"),
         F.col("l_extendedprice").alias("price"),
         F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("sales_channel_id"),
@@ -43,7 +49,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     words = F.split("p_name", " ")
     return table(spark, folder, "part").select(
-        S.normalize_article_id("p_partkey").alias("article_id"),
+        _article_id("p_partkey").alias("article_id"),
         F.col("p_type").alias("product_type_name"),
         F.get(words, F.lit(1)).alias("product_group_name"),
         F.get(words, F.lit(0)).alias("colour_group_name"),

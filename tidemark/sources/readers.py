@@ -17,8 +17,28 @@ TRANSACTION_COLUMNS = ("t_dat", "customer_id", "article_id")
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 
 
+SMALLEST_SPREAD = 1 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(df, df.columns[0])
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute a scan that is too small to give every core a split.
+
+    A file is split by row groups, so a table of a few megabytes would run on
+    one core up to its first shuffle.  A table with enough bytes for all cores
+    is left as it is; the size comes from the file listing, without a job.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if size < SMALLEST_SPREAD or size >= cores * split:
+        return df
+    return df.repartition(cores, key)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
