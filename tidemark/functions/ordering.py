@@ -51,7 +51,9 @@ def running_totals(
     buckets run.  ``keys`` must not be null.
     """
     keys = list(keys)
-    based = df.withColumn("_bucket", bucket)
+    # A struct is never null: rows with an unknown order key stay, and no null
+    # filter makes the two branches differ, so they can share one exchange.
+    based = df.withColumn("_bucket", F.struct(bucket.alias("b")))
     sums = based.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
     whole = Window.partitionBy(*keys)
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()

@@ -111,11 +111,11 @@ def full_report(scored: DataFrame, threshold: float) -> DataFrame:
         F.try_divide(F.sum(F.col("pos") * precision), F.max("total_pos").cast("double")).alias("average_precision"),
         F.greatest(F.max(gap), F.lit(0.0)).alias("ks_statistic"),
     )
-    one = F.lit(1).alias("_one")  # both sides are single-row aggregates
     return (
-        binary_metrics(scored, threshold).select("*", one)
-        .join(ranking.select("*", one), "_one")
-        .join(confusion_matrix(scored, threshold).select("*", one), "_one").drop("_one")
+        binary_metrics(scored, threshold)
+        .withColumn("_ranking", ranking.select(F.struct("*")).scalar())
+        .withColumn("_confusion", confusion_matrix(scored, threshold).select(F.struct("*")).scalar())
+        .select("*", "_ranking.*", "_confusion.*").drop("_ranking", "_confusion")
     )
 
 

@@ -143,8 +143,8 @@ def fold_metrics(oof: DataFrame) -> DataFrame:
     rows = []
     for fold in folds:
         part = oof.where(F.col("fold") == fold)
-        one = F.lit(fold).alias("fold")
-        rows.append(B.roc_auc(part).select(one, "roc_auc").join(B.average_precision(part).select(one, "average_precision"), "fold"))
+        auc = B.roc_auc(part).withColumn("fold", F.lit(fold))
+        rows.append(auc.withColumn("average_precision", B.average_precision(part).scalar()))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -71,14 +71,12 @@ def temporal_windows(
 def ground_truth(history: DataFrame, future: DataFrame) -> DataFrame:
     """Distinct future purchases of known users with first-seen ``position``.
 
-    The position is split by day so that a very active user is never ordered
-    in one task.
+    Repeats collapse before the join, and the position is split by day, so that
+    a very active user is never ordered in one task.
     """
     known = history.select("customer_id").distinct()
-    pairs = (
-        future.join(known, "customer_id", "left_semi")
-        .groupBy("customer_id", "article_id").agg(F.min("t_dat").alias("first_date"))
-    )
+    firsts = future.groupBy("customer_id", "article_id").agg(F.min("t_dat").alias("first_date"))
+    pairs = firsts.join(known, "customer_id", "left_semi")
     return split_rank(pairs, [F.col("article_id")], F.col("first_date"), "position", ["customer_id"])
 
 

@@ -100,11 +100,10 @@ def read_application(spark: SparkSession, path: str, label: str | None = "TARGET
 def read_text_materials(spark: SparkSession, path: str) -> DataFrame:
     """Each ``.txt``/``.md`` below ``path`` is one segment; blank files are dropped."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{txt,md}")
         .option("ignoreCorruptFiles", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), S.trimmed("value").alias("text"))
     )
     return files.where(F.length("text") > 0).select("path", F.lit(0).alias("pos"), "text", F.lit("text").alias("source"))
