@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordering import hash_bucket, seeded_hash, split_rank
+from tidemark.session import materialized
 
 # Default names of the evaluation windows, oldest first.
 WINDOW_NAMES = ("history_window_1", "history_window_2", "validation_history", "final_history")
@@ -153,7 +154,12 @@ def negative_sampling(
     pairs: DataFrame, ratio: int = 10, seed: int = 42, label: str = "target",
     key: Sequence[str] = ("customer_id", "article_id"),
 ) -> DataFrame:
-    """All positives and at most ``ratio`` negatives per positive, hash-chosen."""
+    """All positives and at most ``ratio`` negatives per positive, hash-chosen.
+
+    Counting, ranking and selecting each read the labelled pairs, so these are
+    written once.
+    """
+    pairs = materialized(pairs, "labelled")
     positives = pairs.where(F.col(label) == 1)
     quota = pairs.agg(F.coalesce(F.sum(F.col(label)), F.lit(0)) * ratio).scalar()
     hashed = pairs.where(F.col(label) == 0).withColumn("_h", seeded_hash(seed, *[F.col(k) for k in key]))

@@ -25,7 +25,7 @@ def chat_update_stream(spark, folder):
     log = work_path(spark, "updates")
     updates.write.parquet(log)
     updates.where("update_id % 10 = 0").write.mode("append").parquet(log)
-    stream = FL.file_stream(spark, log, updates.schema, files_per_trigger=1)
+    stream = FL.file_stream(spark, log, updates.schema, files_per_trigger=6)
     return FL.run(FL.chat_updates(stream, "3650 days"), work_path(spark, "replies"), work_path(spark, "offsets"))
 
 
@@ -36,7 +36,7 @@ def dialog_memory_stream(spark, folder):
     inbox = work_path(spark, "lines")
     lines.where("turn < 3").write.parquet(inbox)
     lines.where("turn >= 3").write.mode("append").parquet(inbox)
-    stream = FL.file_stream(spark, inbox, lines.schema, files_per_trigger=1)
+    stream = FL.file_stream(spark, inbox, lines.schema, files_per_trigger=8)
     return FL.run_dialog_memory(stream, work_path(spark, "memory"), work_path(spark, "memory_offsets"), PT.KEEP, PT.OVER)
 
 
@@ -47,5 +47,5 @@ def material_ingest_stream(spark, folder):
     inbox = work_path(spark, "uploads")
     rows.where("doc_id % 7 = 0").withColumn("text", F.lit(" ")).write.parquet(inbox)
     rows.write.mode("append").parquet(inbox)
-    stream = FL.file_stream(spark, inbox, rows.schema, files_per_trigger=1)
+    stream = FL.file_stream(spark, inbox, rows.schema, files_per_trigger=8)
     return steadied(FL.ingest_materials(stream, work_path(spark, "status"), work_path(spark, "status_offsets")), {})
