@@ -395,9 +395,6 @@ def score_histogram(spark, folder):
     return steadied(B.score_histogram(C.scored(spark, folder)), {})
 
 
-FOLDS = """SELECT f, target, p FROM (SELECT *, id % 3 AS f FROM scored)"""
-
-
 @query("fold_summary", with_tables("scored", m="""SELECT f, avg(p) FILTER (target = 1) AS roc_auc,
     avg(p) FILTER (target = 0) AS average_precision FROM (SELECT *, id % 3 AS f FROM scored) GROUP BY f""") + f"""
     SELECT {steady_sql('avg(roc_auc)')} AS roc_auc_mean, {steady_sql('stddev_pop(roc_auc)')} AS roc_auc_std,
