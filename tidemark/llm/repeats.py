@@ -90,7 +90,7 @@ def rows_by(slot: np.ndarray, kind: int, ids: np.ndarray, a: np.ndarray, b: np.n
 
 
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    """Where the answers for a document go; the same function as ``part_column``."""
+    """Where the answers for a document go; also where its text goes."""
     x = ids.astype(np.uint64)
     return ((S.mix(x) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
@@ -252,6 +252,51 @@ def _keyed(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return S.mix(hashes + ids.astype(np.uint64) * np.uint64(S.BASE))
 
 
+TEXTS = "slot int, doc_ids binary, sizes binary, body binary, n_bytes bigint"
+TEXTS_ARROW = pa.schema([("slot", pa.int32()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary()), ("n_bytes", pa.int64())])
+
+
+def texts_by_part(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Compressed texts, one row for each part and ``EMIT`` bytes of input."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids = table.column("doc_id").to_numpy()
+        part = part_of(ids, parts)
+        order = np.argsort(part, kind="stable")
+        data, offsets = S.bytes_of(table.column("text").combine_chunks().cast(pa.large_binary()).take(pa.array(order)))
+        ids, part, sizes = ids[order], part[order], np.diff(offsets)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(cuts[1:], len(part))[: len(cuts)]
+        bodies = [data[offsets[x] : offsets[y]] for x, y in zip(cuts, ends)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(part[cuts].astype(np.int32)),
+            pa.array([pack(ids[x:y], True) for x, y in zip(cuts, ends)], pa.binary()),
+            pa.array([pack(sizes[x:y]) for x, y in zip(cuts, ends)], pa.binary()),
+            pa.array([pa.compress(b, "zstd", asbytes=True) if len(b) else b"" for b in bodies], pa.binary()),
+            pa.array([len(b) for b in bodies], pa.int64())], schema=TEXTS_ARROW)
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= EMIT:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def texts_of(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, bytes and offsets of the documents of one part."""
+    sizes = unpack(docs.column("sizes").to_pylist(), np.int64)
+    bodies = [pa.decompress(b, n, "zstd", asbytes=True) for b, n in zip(docs.column("body").to_pylist(), docs.column("n_bytes").to_pylist()) if n]
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    return unpack(docs.column("doc_ids").to_pylist(), np.int64, True), data, np.concatenate(([0], np.cumsum(sizes)))
+
+
 def look_into(docs: pa.Table, answers: pa.Table, scan: Scan, buckets: int, parts: int) -> pa.Table:
     """Third pass, task side: covered spans, and windows of the spans' first holders."""
     out = [PACKED_ARROW.empty_table()]
@@ -261,8 +306,7 @@ def look_into(docs: pa.Table, answers: pa.Table, scan: Scan, buckets: int, parts
     key = _keyed(span, ids)
     order = np.argsort(key, kind="stable")
     key, state = key[order], state[order]
-    data, offsets = S.bytes_of(docs.column("text"))
-    doc_ids = docs.column("doc_id").to_numpy()
+    doc_ids, data, offsets = texts_of(docs)
     cover: list[tuple[np.ndarray, ...]] = []
     fine: list[tuple[np.ndarray, ...]] = []
     for x, y in S.blocks(np.diff(offsets), BLOCK):
@@ -329,8 +373,7 @@ def cut(docs: pa.Table, answers: pa.Table, scan: Scan) -> pa.Table:
     at, size, ids = _columns(answers, np.int64, np.int64)
     order = np.argsort(ids, kind="stable")
     at, size, ids = at[order], size[order], ids[order]
-    data, offsets = S.bytes_of(docs.column("text"))
-    who = docs.column("doc_id").to_numpy()
+    who, data, offsets = texts_of(docs)
     lows, highs = np.searchsorted(ids, who), np.searchsorted(ids, who, "right")
     rows: list[list] = [[], [], [], [], [], []]
     for i, doc in enumerate(who):
@@ -377,12 +420,7 @@ def cut_repeats(docs: DataFrame, scan: Scan) -> DataFrame:
     sent = base.mapInArrow(lambda it: asks(it, scan, buckets, parts), PACKED)
     first = scratch.keep(sent.groupBy("slot").applyInArrow(lambda t: judge_spans(t, parts), PACKED))
 
-    # The part of a row must be the one the tasks compute, so it is made there.
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column("slot", pa.array(part_of(b.column("doc_id").to_numpy(), parts).astype(np.int32)))
-
-    split = base.mapInArrow(placed, "doc_id bigint, text binary, slot int")
+    split = base.mapInArrow(lambda it: texts_by_part(it, parts), TEXTS)
     looked = split.groupBy("slot").cogroup(first.groupBy("slot")).applyInArrow(
         lambda d, a: look_into(d, a, scan, buckets, parts), PACKED)
     second = scratch.keep(looked.groupBy("slot").applyInArrow(lambda t: judge_windows(t, scan, parts), PACKED))
