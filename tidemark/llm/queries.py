@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from tidemark.llm import substring_dedup, suffix_dedup
+from tidemark.llm import (
+    exact_dedup,
+    language_id,
+    mixing,
+    packing,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_language_id": language_id.op2_language_id,
+    "op3_packing": packing.op3_packing,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op4_sharding": sharding.OP4_SQL,
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
 }
