@@ -6,6 +6,7 @@ from tidemark.llm import (
     exact_dedup,
     language_id,
     mixing,
+    near_dedup,
     packing,
     quality_rules,
     sharding,
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
