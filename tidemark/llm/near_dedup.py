@@ -171,41 +171,49 @@ def sized(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
+def places(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of ordered leaves: where its leaf starts and how many it has."""
+    if not len(leaf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    head = runs(leaf)
+    which = np.cumsum(head) - 1
+    return np.flatnonzero(head)[which], np.bincount(which)[which]
+
+
 def first_pairs(table: pa.Table, similar: Similar) -> pa.Table:
-    """All pairs of a small leaf; in a large one every member with the first and with its neighbour."""
+    """Every member of a leaf with the leaf's first: as many pairs as members, however large the leaf."""
     leaf, size, _, ids = leaf_members(table)
-    head = runs(leaf)
-    start = np.flatnonzero(head)[np.cumsum(head) - 1] if len(leaf) else np.zeros(0, np.int64)
-    n = np.bincount(np.cumsum(head) - 1)[np.cumsum(head) - 1] if len(leaf) else start
-    at = np.arange(len(leaf))
-    out = []
-    for gap in range(1, SMALL):
-        other = at - gap
-        ok = np.flatnonzero((other >= start) & ((n <= SMALL) | (gap == 1)))
-        out.append((other[ok], ok))
-    ok = np.flatnonzero((n > SMALL) & (at - start > 1))
-    out.append((start[ok], ok))
-    return _pair_table(out, ids, size, similar)
+    start, _ = places(leaf)
+    later = np.flatnonzero(np.arange(len(leaf)) > start)
+    return _pair_table([(start[later], later)], ids, size, similar)
 
 
 def mixed_pairs(table: pa.Table, similar: Similar) -> pa.Table:
-    """Members of large leaves that the links so far have not joined, each against the other labels.
+    """Pairs of a leaf that links have not joined so far: those of different labels.
 
-    Members are laid out by label; a member of all labels but the largest meets
-    every member of another label.
+    In a large leaf most members have one label by now; the others meet all that
+    have another label than their own.
     """
     leaf, size, label, ids = leaf_members(table)
+    start, n = places(leaf)
+    if not len(leaf):
+        return PAIRS_ARROW.empty_table()
+    other = (label != label[start]).astype(np.int64)
+    mixed = np.add.reduceat(other, np.flatnonzero(runs(leaf)))[np.cumsum(runs(leaf)) - 1] > 0
+    at = np.arange(len(leaf))
     out = []
-    if len(leaf):
-        for rows in np.split(np.arange(len(leaf)), np.flatnonzero(runs(leaf))[1:]):
-            if len(rows) <= SMALL or (label[rows] == label[rows[0]]).all():
-                continue
-            names, which, counts = np.unique(label[rows], return_inverse=True, return_counts=True)
-            few = np.flatnonzero(which != counts.argmax())
-            for i in few:
-                others = np.flatnonzero((which != which[i]) & ((which == counts.argmax()) | (np.arange(len(rows)) > i)))
-                others = others[sized(size[rows[i]], size[rows[others]], similar.percent)]
-                out.append((np.full(len(others), rows[i]), rows[others]))
+    for gap in range(1, SMALL):
+        ok = np.flatnonzero(mixed & (n <= SMALL) & (at - gap >= start))
+        ok = ok[label[ok] != label[ok - gap]]
+        out.append((ok - gap, ok))
+    for first in np.flatnonzero(mixed & (n > SMALL) & (at == start)):
+        rows = np.arange(first, first + n[first])
+        _, which, counts = np.unique(label[rows], return_inverse=True, return_counts=True)
+        most = counts.argmax()
+        for i in np.flatnonzero(which != most):
+            others = np.flatnonzero((which != which[i]) & ((which == most) | (np.arange(len(rows)) > i)))
+            others = others[sized(size[rows[i]], size[rows[others]], similar.percent)]
+            out.append((np.full(len(others), rows[i]), rows[others]))
     return _pair_table(out, ids, size, similar)
 
 
@@ -289,9 +297,9 @@ def near_duplicates(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     Rows with equal sets form one class before the join; a class has the smallest
     doc_id of its rows (a null doc_id counts as the largest).  Classes branch down
     the trees of a ``Forest``, leaves give pairs, sketches drop hopeless pairs and
-    full sets confirm links.  Leaves of more than ``SMALL`` members first link to
-    one member and a neighbour; then the members that are still apart are compared
-    with the rest.  A null text and one without words have an empty set, which is
+    full sets confirm links.  The members of a leaf are first compared with one of
+    them; those that are still apart after that are compared with each other, so a
+    leaf full of near copies costs few pairs.  A null text and one without words have an empty set, which is
     linked with nothing.  Of rows that share the smallest doc_id all are kept, for
     they are one document.  Columns besides ``doc_id`` and ``text`` are ignored.
     """
