@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import work_path
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LAST_ID = 2**63 - 1
 
 
@@ -16,7 +15,8 @@ class Scratch:
     """Owner of one operator's intermediate tables under ``spark.checkpoint.dir``.
 
     ``keep`` writes a frame and reads it back, which cuts the lineage with files
-    that outlive executors.  ``drop`` removes a table once nothing reads it.
+    that outlive executors, and lets Spark delete the shuffle files of that write,
+    which nothing can read any more.  ``drop`` removes a table once nothing reads it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -24,17 +24,16 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = work_path(self.spark, self.name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEAN_UP) if before is None else self.spark.conf.set(CLEAN_UP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch = path
-        self.tidy()
         return kept
 
-    def tidy(self) -> None:
-        """Let Spark's cleaner find the shuffle files of finished jobs."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
