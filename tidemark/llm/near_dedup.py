@@ -188,6 +188,24 @@ def first_pairs(table: pa.Table, similar: Similar) -> pa.Table:
     return _pair_table([(start[later], later)], ids, size, similar)
 
 
+def drawn_pairs(table: pa.Table, similar: Similar) -> pa.Table:
+    """Every member of a leaf with two drawn members, if those have another label.
+
+    Where nearly all members have one label, nearly all pairs are of a member that
+    is still apart and one of the many, so one round joins what is easily joined.
+    """
+    leaf, size, label, ids = leaf_members(table)
+    start, n = places(leaf)
+    at = np.arange(len(leaf))
+    out = []
+    for seed in (1, 2):
+        draw = S.mix(leaf + S.mix(ids.astype(np.uint64) * np.uint64(S.BASE) + np.uint64(seed)))
+        other = start + ((draw >> np.uint64(20)) % np.maximum(n, 1).astype(np.uint64)).astype(np.int64)
+        apart = np.flatnonzero(label[other] != label)
+        out.append((other[apart], at[apart]))
+    return _pair_table(out, ids, size, similar)
+
+
 def mixed_pairs(table: pa.Table, similar: Similar) -> pa.Table:
     """Pairs of a leaf that links have not joined so far: those of different labels.
 
@@ -298,8 +316,8 @@ def near_duplicates(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     doc_id of its rows (a null doc_id counts as the largest).  Classes branch down
     the trees of a ``Forest``, leaves give pairs, sketches drop hopeless pairs and
     full sets confirm links.  The members of a leaf are first compared with one of
-    them; those that are still apart after that are compared with each other, so a
-    leaf full of near copies costs few pairs.  A null text and one without words have an empty set, which is
+    them, then with drawn ones, and those that are still apart with all others, so
+    a leaf full of near copies costs few pairs.  A null text and one without words have an empty set, which is
     linked with nothing.  Of rows that share the smallest doc_id all are kept, for
     they are one document.  Columns besides ``doc_id`` and ``text`` are ignored.
     """
@@ -325,16 +343,16 @@ def near_duplicates(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
         texts = base.join(wanted, "id").groupBy("id", "print").agg(F.min("text").alias("text")).select("id", "text")
         return scratch.keep(confirmed(hopeful, scratch.keep(texts), similar))
 
-    links = link(search(first_pairs, sets))
-    labels = components(links, scratch)
-    labelled = scratch.keep(sets.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    apart = scratch.keep(search(mixed_pairs, labelled))
-    if apart.take(1):
-        more = link(apart.join(links, ["a", "b"], "left_anti"))
-        labels = components(links.union(more), scratch)
-        labelled = sets.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    by_print = scratch.keep(labelled.select("print", "label"))
-    return rows.join(by_print, "print", "left").select(
+    labelled, links = sets, None
+    for found in (first_pairs, drawn_pairs, mixed_pairs):
+        pairs = scratch.keep(search(found, labelled))
+        if links is not None and not pairs.take(1):
+            break
+        new = link(pairs)
+        links = new if links is None else scratch.keep(links.union(new))
+        labels = components(links, scratch)
+        labelled = scratch.keep(sets.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    return rows.join(labelled.select("print", "label"), "print", "left").select(
         F.nullif("id", F.lit(tables.LAST_ID)).alias("doc_id"), "n_shingles",
         F.nullif(F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")), F.lit(tables.LAST_ID)).alias("component_id"),
         (F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")) == F.col("id")).alias("kept"))
