@@ -17,6 +17,8 @@ from tidemark.llm.repeats import pack, runs, unpack
 
 BLOCK = 1 << 19
 COORDINATES = 128
+BITMAP = 4096
+TILE = 256
 SMALL = 8
 MISS = 1e-6
 BACKGROUND = 16  # unrelated documents share a child this many times less often than a parent
@@ -60,7 +62,7 @@ def sketches(docs: DataFrame, similar: Similar) -> DataFrame:
     """``id, n_shingles, print, sketch`` of every row.
 
     ``print`` is equal for equal sets only (128 bits); ``sketch`` has the low 16
-    bits of ``COORDINATES`` minwise tokens.
+    bits of ``COORDINATES`` minwise tokens, and behind them a bitmap of the set.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +82,9 @@ def sketches(docs: DataFrame, similar: Similar) -> DataFrame:
                         # The high half of a product is well mixed; its minimum picks the token.
                         low = np.minimum.reduceat((tokens * factor[k]) >> np.uint64(8), cut[:-1][some])
                         sketch[some, k] = S.mix(low).astype(np.uint16)
+                bits = np.zeros((y - x, BITMAP), bool)
+                bits[np.repeat(np.arange(y - x), n), (tokens >> np.uint64(11)) % np.uint64(BITMAP)] = True
+                sketch = np.concatenate((sketch.view(np.uint8), np.packbits(bits, axis=1)), axis=1)
                 names = np.column_stack(both)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(x, y - x), pa.array(n.astype(np.int64)),
@@ -89,6 +94,33 @@ def sketches(docs: DataFrame, similar: Similar) -> DataFrame:
     return docs.mapInArrow(make, "id bigint, n_shingles bigint, print binary, sketch binary")
 
 
+def sketch_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise tokens and bitmap (as 64-bit words) of sketches."""
+    rows = S.bytes_of(column)[0].reshape(-1, 2 * COORDINATES + BITMAP // 8)
+    return np.ascontiguousarray(rows[:, : 2 * COORDINATES]).view(np.uint16), np.ascontiguousarray(rows[:, 2 * COORDINATES :]).view(np.uint64)
+
+
+def hopeful_pairs(one: pa.Array, two: pa.Array, n_one: np.ndarray, n_two: np.ndarray, x: np.ndarray, y: np.ndarray, similar: Similar) -> np.ndarray:
+    """Which of the pairs ``(x, y)`` of rows may reach the threshold.
+
+    Sketches must agree almost as often as the threshold asks (five deviations
+    below).  A bit that only one bitmap has stands for a token that only its set
+    has, which bounds the share of the union from above, without an estimate.
+    """
+    share = similar.percent / 100
+    least = COORDINATES * share - 5 * math.sqrt(COORDINATES * share * (1 - share))
+    a, b = sketch_parts(one), sketch_parts(two)
+    good = np.zeros(len(x), bool)
+    for s in range(0, len(x), 8192):
+        i, j = x[s : s + 8192], y[s : s + 8192]
+        own = np.bitwise_count(a[1][i] & ~b[1][j]).sum(1, dtype=np.int64)
+        other = np.bitwise_count(b[1][j] & ~a[1][i]).sum(1, dtype=np.int64)
+        common = np.minimum(n_one[i] - own, n_two[j] - other)
+        good[s : s + 8192] = ((a[0][i] == b[0][j]).sum(1) >= least) & (
+            100 * common >= similar.percent * (n_one[i] + n_two[j] - common))
+    return good
+
+
 class Forest:
     """Independent random trees over the coordinates of a sketch.
 
@@ -134,7 +166,7 @@ def leaf_rows(sets: DataFrame, forest: Forest, buckets: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 rows = batch.slice(start, 4096)
-                sketch = np.frombuffer(S.bytes_of(rows.column("sketch"))[0].tobytes(), np.uint16).reshape(-1, COORDINATES)
+                sketch, _ = sketch_parts(rows.column("sketch"))
                 leaf = forest.leaves(sketch).ravel()
                 if not len(leaf):
                     continue
@@ -206,35 +238,79 @@ def drawn_pairs(table: pa.Table, similar: Similar) -> pa.Table:
     return _pair_table(out, ids, size, similar)
 
 
-def mixed_pairs(table: pa.Table, similar: Similar) -> pa.Table:
-    """Pairs of a leaf that links have not joined so far: those of different labels.
+def _mixed(leaf: np.ndarray, label: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Members of leaves with more than one label."""
+    other = (label != label[start]).astype(np.int64)
+    return np.add.reduceat(other, np.flatnonzero(runs(leaf)))[np.cumsum(runs(leaf)) - 1] > 0
 
-    In a large leaf most members have one label by now; the others meet all that
-    have another label than their own.
-    """
+
+def mixed_pairs(table: pa.Table, similar: Similar) -> pa.Table:
+    """Pairs of different labels in small leaves."""
     leaf, size, label, ids = leaf_members(table)
-    start, n = places(leaf)
     if not len(leaf):
         return PAIRS_ARROW.empty_table()
-    other = (label != label[start]).astype(np.int64)
-    mixed = np.add.reduceat(other, np.flatnonzero(runs(leaf)))[np.cumsum(runs(leaf)) - 1] > 0
+    start, n = places(leaf)
     at = np.arange(len(leaf))
+    small = _mixed(leaf, label, start) & (n <= SMALL)
     out = []
     for gap in range(1, SMALL):
-        ok = np.flatnonzero(mixed & (n <= SMALL) & (at - gap >= start))
+        ok = np.flatnonzero(small & (at - gap >= start))
         ok = ok[label[ok] != label[ok - gap]]
         out.append((ok - gap, ok))
-    for first in np.flatnonzero(mixed & (n > SMALL) & (at == start)):
-        rows = np.arange(first, first + n[first])
-        _, which, counts = np.unique(label[rows], return_inverse=True, return_counts=True)
-        most = counts.argmax()
-        for i in np.flatnonzero(which != most):
-            others = np.flatnonzero((which != which[i]) & ((which == most) | (np.arange(len(rows)) > i)))
-            others = others[sized(size[rows[i]], size[rows[others]], similar.percent)]
-            out.append((np.full(len(others), rows[i]), rows[others]))
     return _pair_table(out, ids, size, similar)
 
 
+MEMBERS = "hub bigint, id bigint, label bigint, apart boolean"
+
+
+def mixed_members(table: pa.Table) -> pa.Table:
+    """Members of large leaves with more than one label, under the label that most have (the hub)."""
+    leaf, _, label, ids = leaf_members(table)
+    hub, member = [], []
+    if len(leaf):
+        start, n = places(leaf)
+        for first in np.flatnonzero(_mixed(leaf, label, start) & (n > SMALL) & (np.arange(len(leaf)) == start)):
+            names, counts = np.unique(label[first : first + n[first]], return_counts=True)
+            member.append(np.arange(first, first + n[first]))
+            hub.append(np.full(n[first], names[counts.argmax()]))
+    at = np.concatenate(member) if member else np.zeros(0, np.int64)
+    hubs = np.concatenate(hub) if hub else at
+    rows = np.unique(np.column_stack((hubs, ids[at], label[at])), axis=0)
+    return pa.table({"hub": np.ascontiguousarray(rows[:, 0]), "id": np.ascontiguousarray(rows[:, 1]), "label": np.ascontiguousarray(rows[:, 2]),
+                     "apart": rows[:, 0] != rows[:, 2]})
+
+
+def tile_pairs(members: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
+    """Hopeful pairs of a hub: those that are apart against all members, in tiles.
+
+    A tile holds about ``TILE`` rows of each side, however large the hub is; only
+    pairs that pass ``hopeful_pairs`` become rows.
+    """
+    tiles = members.groupBy("hub").agg(
+        F.ceil(F.sum(F.col("apart").cast("int")) / TILE).alias("rows"), F.ceil(F.count(F.lit(1)) / TILE).alias("columns"))
+    full = members.join(sets.select("id", "n_shingles", "sketch"), "id").join(tiles, "hub")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("left"), F.col("rows")).otherwise(F.col("columns")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("left"), F.col("columns")).otherwise(F.col("rows")) - 1)
+    sides = full.withColumn("left", F.explode(F.when(F.col("apart"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    dealt = sides.select("hub", "id", "label", "n_shingles", "sketch", "left", mine.alias("mine"), F.explode(every).alias("other"))
+    tiled = dealt.withColumn("i", F.when(F.col("left"), F.col("mine")).otherwise(F.col("other"))).withColumn(
+        "j", F.when(F.col("left"), F.col("other")).otherwise(F.col("mine")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        left = table.column("left").to_numpy()
+        one, two = table.filter(pa.array(left)).combine_chunks(), table.filter(pa.array(~left)).combine_chunks()
+        if not one.num_rows or not two.num_rows:
+            return PAIRS_ARROW.empty_table()
+        get = lambda c: (one.column(c).to_numpy(), two.column(c).to_numpy())
+        (la, lb), (na, nb), (ia, ib) = get("label"), get("n_shingles"), get("id")
+        x, y = np.nonzero((la[:, None] != lb[None, :]) & sized(na[:, None], nb[None, :], similar.percent))
+        good = hopeful_pairs(one.column("sketch"), two.column("sketch"), na, nb, x, y, similar)
+        x, y = ia[x[good]], ib[y[good]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema=PAIRS_ARROW)
+
+    return tiled.groupBy("hub", "i", "j").applyInArrow(compare, PAIRS).distinct()
+
+
 def _pair_table(out: list, ids: np.ndarray, size: np.ndarray, similar: Similar) -> pa.Table:
     if not out:
         return PAIRS_ARROW.empty_table()
@@ -246,19 +322,17 @@ def _pair_table(out: list, ids: np.ndarray, size: np.ndarray, similar: Similar)
 
 
 def promising(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
-    """Pairs whose sketches agree almost as often as the threshold asks (five deviations below)."""
-    share = similar.percent / 100
-    least = COORDINATES * share - 5 * math.sqrt(COORDINATES * share * (1 - share))
-    side = sets.select("id", "sketch")
+    """Pairs that pass ``hopeful_pairs``."""
+    side = sets.select("id", "sketch", "n_shingles")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(S.bytes_of(batch.column(c))[0].tobytes(), np.uint16).reshape(-1, COORDINATES) for c in ("one", "two"))
-            good = pa.array((one == two).sum(1) >= least)
-            yield batch.select(["a", "b"]).filter(good)
+            n, row = (batch.column(c).to_numpy() for c in ("n_one", "n_two")), np.arange(batch.num_rows)
+            good = hopeful_pairs(batch.column("one"), batch.column("two"), *n, row, row, similar)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    joined = pairs.join(side.toDF("a", "one"), "a").join(side.toDF("b", "two"), "b")
-    return joined.select("a", "b", "one", "two").mapInArrow(keep, PAIRS)
+    joined = pairs.join(side.toDF("a", "one", "n_one"), "a").join(side.toDF("b", "two", "n_two"), "b")
+    return joined.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(keep, PAIRS)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similar: Similar) -> DataFrame:
@@ -332,11 +406,13 @@ def near_duplicates(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     buckets = max(64, n * len(forest.paths) // 500_000)
 
     def search(found, labelled: DataFrame) -> DataFrame:
-        packed = leaf_rows(labelled.select("id", "n_shingles", "sketch", "label"), forest, buckets)
-        return packed.groupBy("slot").applyInArrow(lambda t: found(t, similar), PAIRS).distinct()
+        packed = leaf_rows(labelled.select("id", "n_shingles", "sketch", "label"), forest, buckets).groupBy("slot")
+        if found is not mixed_members:
+            return promising(packed.applyInArrow(lambda t: found(t, similar), PAIRS).distinct(), sets, similar)
+        members = scratch.keep(packed.applyInArrow(mixed_members, MEMBERS).distinct())
+        return tile_pairs(members, sets, similar)
 
-    def link(pairs: DataFrame) -> DataFrame:
-        hopeful = scratch.keep(promising(pairs, sets, similar))
+    def link(hopeful: DataFrame) -> DataFrame:
         ends = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         # One text for each class: rows that share an id may differ.
         wanted = ends.join(sets.select("id", "print"), "id")
@@ -344,10 +420,10 @@ def near_duplicates(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
         return scratch.keep(confirmed(hopeful, scratch.keep(texts), similar))
 
     labelled, links = sets, None
-    for found in (first_pairs, drawn_pairs, mixed_pairs):
+    for found in (first_pairs, drawn_pairs, mixed_pairs, mixed_members):
         pairs = scratch.keep(search(found, labelled))
         if links is not None and not pairs.take(1):
-            break
+            continue
         new = link(pairs)
         links = new if links is None else scratch.keep(links.union(new))
         labels = components(links, scratch)
