@@ -18,6 +18,7 @@ BITS = 20
 BLOCK = 1 << 19
 SLICES = 64
 FEATURES = 4096
+LEAST_Z = 4
 SAMPLE = 12_000
 THRESHOLD = 0.3
 
@@ -109,7 +110,7 @@ def train(labelled: DataFrame, n_features: int = FEATURES) -> Model:
     share = (bad + good + 1) / (sum(sizes) + 2)
     z = (bad / sizes[1] - good / sizes[0]) / np.sqrt(share * (1 - share) * (1 / sizes[0] + 1 / sizes[1]) + 1e-12)
     chosen = np.argsort(-np.abs(z), kind="stable")[:n_features]
-    chosen = chosen[np.abs(z[chosen]) > 3]
+    chosen = chosen[np.abs(z[chosen]) > LEAST_Z]
     number[chosen] = np.arange(len(chosen))
     ratio = np.log((bad[chosen] + 1) / (sizes[1] + 2)) - np.log((good[chosen] + 1) / (sizes[0] + 2))
 
