@@ -12,6 +12,8 @@ from tidemark.functions import scalars as S
 from tidemark.operators import binary_metrics as B
 from tidemark.operators import credit as CR
 from tidemark.operators import dialog as D
+from tidemark.operators import jobs as J
+from tidemark.operators import models as M
 from tidemark.operators import retrieval as RT
 from tidemark.operators import splits
 from tidemark.operators import text as TX
@@ -297,3 +299,26 @@ def test_out_of_fold_scores_beat_chance(spark):
 
 def test_shared_folder_needs_setting_on_a_cluster(spark):
     assert os.path.isdir(work_path(spark, "x").rsplit("/", 1)[0])
+
+
+def test_boosted_trees_take_wide_text_columns(spark):
+    rows = spark.range(400).selectExpr(
+        "id AS SK_ID_CURR", "concat('v', id % 100) AS kind", "CAST(id % 7 AS double) AS size",
+        "CAST(id % 100 < 50 AS int) AS TARGET", "1.0 AS weight")
+    model = M.boosted_trees(rows, ["kind", "size"], iterations=2, depth=3).fit(rows)
+    assert model.stages[-1].getNumTrees == 2
+
+
+def test_unnamed_lesson_is_no_gap(spark):
+    lessons = spark.createDataFrame([(1, 1, None, "t"), (1, 3, "math", "t")], "grp int, code int, subject string, teacher string")
+    slots = spark.range(1, 4).selectExpr("CAST(id AS int) AS code", "'a' AS time_from", "'b' AS time_to")
+    found = {r["code"]: (r["subject"], r["is_gap"]) for r in J.schedule_with_gaps(lessons, slots, ["grp"]).collect()}
+    assert found == {1: (J.UNNAMED, False), 2: (J.GAP, True), 3: ("math", False)}
+
+
+def test_failed_publish_keeps_the_old_table(spark):
+    path = work_path(spark, "published")
+    sinks.save_table(spark.range(3), path)
+    with pytest.raises(Exception):
+        sinks.publish(spark, f"{path}.never_written", path)
+    assert spark.read.parquet(path).count() == 3

@@ -16,7 +16,7 @@ LISTING_SCHEMA = (
 # Excluded title words, the default currency and its sign, display texts.
 EXCLUDED_WORDS = ("графический дизайнер", "дизайнер", "менеджер")
 ROUBLE, ROUBLE_SIGN = "RUR", "₽"
-NO_SALARY, FROM_WORD, TO_WORD, GAP = "не указана", "от ", "до ", "окно"
+NO_SALARY, FROM_WORD, TO_WORD, GAP, UNNAMED = "не указана", "от ", "до ", "окно", "Без названия"
 LABELS = {"employer": "Работодатель", "salary_text": "Зарплата", "url": "Ссылка", "snippet": "Кратко"}
 HIGHLIGHT = "</?highlighttext>"
 PRACTICE, LAB, LECTURE = "[Пр]", "[Лаб]", "[Лек]"
@@ -82,19 +82,19 @@ def display_text() -> Column:
 
 
 def schedule_with_gaps(lessons: DataFrame, slots: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lessons in slot order with ``окно`` rows for unused slots in between."""
+    """Lessons in slot order with ``окно`` rows for unused slots in between; a lesson without a name is no gap."""
     keys = list(keys)
     named = lessons.join(slots, "code", "left").select(
         *keys, "code", F.coalesce("time_from", F.lit("")).alias("time_from"), F.coalesce("time_to", F.lit("")).alias("time_to"),
-        "subject", "teacher",
+        F.coalesce("subject", F.lit(UNNAMED)).alias("subject"), "teacher",
     )
     unique = named.groupBy(*keys, "time_from", "time_to", "subject", "teacher").agg(F.min("code").alias("code"))
     span = unique.groupBy(*keys).agg(F.min("code").alias("_low"), F.max("code").alias("_high"))
     inside = span.select(*keys, F.explode(F.sequence("_low", "_high")).alias("code")).join(slots, "code")
-    taken = unique.select(*keys, "code", "subject", "teacher")
+    taken = unique.select(*keys, "code", "subject", "teacher", F.lit(True).alias("_taken"))
     return inside.join(taken, [*keys, "code"], "left").select(
-        *keys, "code", "time_from", "time_to", F.coalesce("subject", F.lit(GAP)).alias("subject"), "teacher",
-        F.col("subject").isNull().alias("is_gap"),
+        *keys, "code", "time_from", "time_to", F.when(F.col("_taken"), F.col("subject")).otherwise(F.lit(GAP)).alias("subject"), "teacher",
+        F.col("_taken").isNull().alias("is_gap"),
     )
 
 

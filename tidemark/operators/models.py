@@ -29,13 +29,24 @@ def column_kinds(data: DataFrame, features: Sequence[str]) -> tuple[list[str], l
     return numeric, [c for c in features if c not in numeric]
 
 
+def _value_counts(data: DataFrame, columns: Sequence[str]) -> DataFrame:
+    long = data.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _levels(data: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Number of values of each text column: one row per column reaches the driver."""
+    if not columns:
+        return {}
+    sizes = _value_counts(data, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    return {r["column"]: r["n"] for r in sizes.collect()}
+
+
 def _most_frequent(data: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Mode of each text column: one counted row per column reaches the driver."""
     if not columns:
         return {}
-    long = data.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("column").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
+    best = _value_counts(data, columns).groupBy("column").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
     return {r["column"]: r["value"] for r in best.collect()}
 
 
@@ -87,9 +98,11 @@ def boosted_trees(
     """Gradient-boosted trees; text columns are indexed, ``Unknown`` fills gaps.
 
     With a ``validation`` indicator column, boosting stops when the loss on those
-    rows no longer falls.
+    rows no longer falls, however small the last gain was.  ``max_bins`` grows to
+    the number of values of the widest text column.
     """
     numeric, texts = column_kinds(data, features)
+    widest = max(_levels(data, texts).values(), default=0)
     fills = {c: "Unknown" for c in texts}
     stages = [_fill_stage(fills, numeric)]
     parts = []
@@ -103,11 +116,11 @@ def boosted_trees(
         parts += indexed
     options = {"weightCol": weight} if weight else {}
     if validation:
-        options["validationIndicatorCol"] = validation
+        options |= {"validationIndicatorCol": validation, "validationTol": 0.0}
     stages += [
         VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep"),
         GBTClassifier(featuresCol="features", labelCol=label, maxIter=iterations, maxDepth=depth, stepSize=step,
-                      seed=seed, maxBins=max_bins, **options),
+                      seed=seed, maxBins=max(max_bins, widest + 2), **options),
     ]
     return Pipeline(stages=stages)
 

@@ -18,7 +18,6 @@ ANSWER_HEAD = "Ниже приведены наиболее релевантны
 ANSWER_SOURCES = "\n\nИсточники:\n"
 
 CHUNK = ("material_id", "chunk_no")
-BROADCAST_TERMS = 500_000  # words; about 20 MB as a broadcast table
 
 
 def term_counts(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,15 +38,9 @@ def inverse_frequencies(counts: DataFrame, chunks: DataFrame, collection: Sequen
 
 
 def _with_idf(counts: DataFrame, idf: DataFrame, collection: Sequence[str]) -> DataFrame:
-    """Counts with ``idf``; frequent words of one corpus are hot join keys.
-
-    A corpus vocabulary below the checked bound is broadcast, a larger one
-    joins by word and salt.
-    """
+    """Counts with ``idf``; frequent words of one corpus are hot join keys, so they are salted."""
     if collection:
         return counts.join(idf, [*collection, "term"])
-    if idf.count() <= BROADCAST_TERMS:
-        return counts.join(F.broadcast(idf), "term")
     return salted_join(counts, idf, ["term"])
 
 

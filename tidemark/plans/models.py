@@ -1,7 +1,8 @@
 """Registered content, factorisation and model queries.
 
-Training runs over the whole tables with short schedules (few iterations,
-shallow trees); the operators keep the full schedules as defaults.
+Factorisation and logistic regression train with the operators' full schedules
+on all feature tables.  Boosted trees are cut to a few shallow trees, which the
+operators do not do by default.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def content_candidates(spark, folder):
 
 
 def fit_als(history):
-    return A.als_train(history, factors=8, iterations=3)
+    return A.als_train(history)
 
 
 @query("als_train")
@@ -84,15 +85,11 @@ def als_candidates(spark, folder):
 
 def modeling_data(spark, folder):
     data = CR.assemble_modeling_data(
-        PC.application_of(spark, folder), PC.feature_tables(spark, folder), ("bureau", "pos_cash"))
+        PC.application_of(spark, folder), PC.feature_tables(spark, folder), "all")
     split = splits.client_split(C.application(spark, folder))
     return CR.split_modeling_data(data, split)
 
 
-def short_logistic(data, features):
-    return M.logistic_pipeline(data, features, max_iter=8)
-
-
 def short_trees(data, features):
     return M.boosted_trees(data, features, iterations=3, depth=3, step=0.3)
 
@@ -106,7 +103,7 @@ def fitted(data, build):
 @query("logistic_pipeline")
 def logistic_pipeline(spark, folder):
     data = materialized(modeling_data(spark, folder))
-    return M.score(fitted(data, short_logistic), data, [M.KEY, M.LABEL, "split"])
+    return M.score(fitted(data, M.logistic_pipeline), data, [M.KEY, M.LABEL, "split"])
 
 
 @query("boosted_trees")
@@ -118,17 +115,17 @@ def boosted_trees(spark, folder):
 @query("feature_importance")
 def feature_importance(spark, folder):
     data = materialized(modeling_data(spark, folder))
-    return M.feature_importance(fitted(data, short_logistic), data)
+    return M.feature_importance(fitted(data, M.logistic_pipeline), data)
 
 
 @query("cv_out_of_fold")
 def cv_out_of_fold(spark, folder):
-    return M.cv_out_of_fold(modeling_data(spark, folder).where("split = 'train'").drop("split"), short_logistic)
+    return M.cv_out_of_fold(modeling_data(spark, folder).where("split = 'train'").drop("split"), M.logistic_pipeline)
 
 
 @query("train_and_holdout")
 def train_and_holdout(spark, folder):
-    return M.train_and_holdout(materialized(modeling_data(spark, folder)), short_logistic)[2]
+    return M.train_and_holdout(materialized(modeling_data(spark, folder)), M.logistic_pipeline)[2]
 
 
 DETAILS = {"threshold": 0.5, "low_cutoff": 0.4, "high_cutoff": 0.6}
@@ -137,7 +134,7 @@ DETAILS = {"threshold": 0.5, "low_cutoff": 0.4, "high_cutoff": 0.6}
 @query("evaluate_holdout")
 def evaluate_holdout(spark, folder):
     data = materialized(modeling_data(spark, folder))
-    return M.evaluate_holdout(fitted(data, short_logistic), data, DETAILS)
+    return M.evaluate_holdout(fitted(data, M.logistic_pipeline), data, DETAILS)
 
 
 @query("predict_batch")
@@ -147,8 +144,8 @@ def predict_batch(spark, folder):
     details = {**DETAILS, "features": contracts.select_model_features(data)}
     tables = PC.feature_tables(spark, folder)
     return M.predict_batch(
-        fitted(data, short_logistic), PC.application_of(spark, folder).drop(M.LABEL), details,
-        lambda rows: CR.assemble_modeling_data(rows, tables, ("bureau", "pos_cash")),
+        fitted(data, M.logistic_pipeline), PC.application_of(spark, folder).drop(M.LABEL), details,
+        lambda rows: CR.assemble_modeling_data(rows, tables, "all"),
     )
 
 
@@ -157,7 +154,7 @@ def model_bundle(spark, folder):
     """Save, load again and score with the loaded bundle."""
     data = materialized(modeling_data(spark, folder))
     path = work_path(spark, "bundle")
-    sinks.save_bundle(fitted(data, short_logistic), path, {**DETAILS, "features": contracts.select_model_features(data)})
+    sinks.save_bundle(fitted(data, M.logistic_pipeline), path, {**DETAILS, "features": contracts.select_model_features(data)})
     model, details = sinks.load_bundle(spark, path)
     return M.evaluate_holdout(model, data, details)
 

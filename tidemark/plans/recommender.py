@@ -66,14 +66,14 @@ LISTED = f"""SELECT customer_id, article_id, popularity_rank AS rank
     FROM (SELECT DISTINCT customer_id FROM truth) CROSS JOIN popular WHERE popularity_rank <= {LIST}"""
 
 
-def base(*names: str, **extra: str) -> str:
+def base(*names: str, _as: str = "AS", **extra: str) -> str:
     """``WITH`` clause holding the split and the named steps, in dependency order."""
     steps = {
         "history": HISTORY, "future": FUTURE, "users": USERS, "truth": TRUTH, "popular": POPULAR, "pairs": PAIRS,
         "frequent": FREQUENT, "recent": RECENT, "poplist": POPLIST, "merged": MERGED, "attrs": ATTRS, "listed": LISTED,
     }
     tables = ["transactions"] + [n for n in names if n in ("articles", "customers")]
-    return with_tables(*tables, **{n: b for n, b in steps.items() if n in names}, **extra)
+    return with_tables(*tables, _as=_as, **{n: b for n, b in steps.items() if n in names}, **extra)
 
 
 class Case:
@@ -135,7 +135,7 @@ class Case:
         )
         return K.merge_candidate_sources({
             "content_based": recent, "personal_history": K.personal_history(self.pairs), "popularity": self.poplist,
-        }, 40)
+        }, 250)
 
 
 def direct(spark, folder) -> Case:
@@ -280,13 +280,13 @@ MERGE_STEPS = ("history", "users", "popular", "pairs", "frequent", "recent", "po
     {steady_sql('content_similarity_score')} AS content_similarity_score, content_rank, from_content_based,
     {steady_sql('personal_history_score')} AS personal_history_score, personal_history_rank, from_personal_history,
     {steady_sql('popularity_score')} AS popularity_score, popularity_rank, from_popularity,
-    number_of_candidate_sources FROM merged WHERE place <= 40""")
+    number_of_candidate_sources FROM merged WHERE place <= 250""")
 def merge_candidate_sources(spark, folder):
     case = Case(spark, folder)
     return steadied(case.merged, {})
 
 
-@query("minmax_per_user", base(*MERGE_STEPS, b="SELECT * FROM merged WHERE place <= 40") + f"""
+@query("minmax_per_user", base(*MERGE_STEPS, b="SELECT * FROM merged WHERE place <= 250") + f"""
     SELECT customer_id, article_id,
     {steady_sql('''coalesce((popularity_score - min(popularity_score) OVER u) / nullif(max(popularity_score) OVER u
     - min(popularity_score) OVER u, 0), 0)''')} AS popularity_score,
@@ -306,7 +306,7 @@ def _scaled(column: str) -> str:
 HYBRID = f"""SELECT customer_id, article_id, round(CAST(0.3 AS DOUBLE) * content_similarity_score
     + CAST(0.1 AS DOUBLE) * {_scaled('personal_history_score')}
     + CAST(0.1 AS DOUBLE) * {_scaled('popularity_score')}, 9) AS score
-    FROM merged WHERE place <= 40 WINDOW u AS (PARTITION BY customer_id)"""
+    FROM merged WHERE place <= 250 WINDOW u AS (PARTITION BY customer_id)"""
 
 
 @query("simple_hybrid", base(*MERGE_STEPS, h=HYBRID) + f"""SELECT customer_id, article_id, {steady_sql('score')} AS score,
@@ -414,7 +414,7 @@ def category_affinity(spark, folder):
     return RF.category_affinity(case.history, C.articles(spark, folder))
 
 
-@query("candidate_features", base(*MERGE_STEPS, "articles", "customers", "attrs", uf=UF, itf=IF, pf=PF, af=AF) + f"""
+@query("candidate_features", base(*MERGE_STEPS, "articles", "customers", "attrs", uf=UF, itf=IF, pf=PF, af=AF, _as="AS MATERIALIZED") + f"""
     SELECT m.customer_id, m.article_id, CAST(0 AS DOUBLE) AS als_score, 0 AS als_rank, 0 AS from_als,
     {steady_sql('content_similarity_score')} AS content_similarity_score, content_rank, from_content_based,
     {steady_sql('personal_history_score')} AS personal_history_score, personal_history_rank, from_personal_history,
@@ -429,7 +429,7 @@ def category_affinity(spark, folder):
     coalesce(days_since_user_bought_item, 0) AS days_since_user_bought_item,
     coalesce(user_bought_item_before, 0) AS user_bought_item_before,
     {', '.join(f'coalesce(f{i}.purchases, 0) AS {out}' for i, out in enumerate(RF.AFFINITY_COLUMNS.values()))}
-    FROM (SELECT * FROM merged WHERE place <= 40) m JOIN uf USING (customer_id) JOIN itf USING (article_id)
+    FROM (SELECT * FROM merged WHERE place <= 250) m JOIN uf USING (customer_id) JOIN itf USING (article_id)
     JOIN attrs a USING (article_id) LEFT JOIN pf ON pf.customer_id = m.customer_id AND pf.article_id = m.article_id
     {' '.join(f"LEFT JOIN af f{i} ON f{i}.customer_id = m.customer_id AND f{i}.category = '{c}' AND f{i}.value = a.{c}"
               for i, c in enumerate(RF.AFFINITY_COLUMNS))}""")
@@ -443,7 +443,7 @@ def candidate_features(spark, folder):
 
 @query("label_candidates", base(*MERGE_STEPS, "future") + """SELECT customer_id, article_id,
     CASE WHEN (customer_id, article_id) IN (SELECT (customer_id, article_id) FROM future) THEN 1 ELSE 0 END AS target
-    FROM merged WHERE place <= 40""")
+    FROM merged WHERE place <= 250""")
 def label_candidates(spark, folder):
     case = Case(spark, folder)
     labelled = RF.label_candidates(case.merged, case.future)
@@ -452,7 +452,7 @@ def label_candidates(spark, folder):
 
 @query("negative_sampling", base(*MERGE_STEPS, "future", lab="""SELECT customer_id, article_id,
     CAST((customer_id, article_id) IN (SELECT (customer_id, article_id) FROM future) AS BIGINT) AS target
-    FROM merged WHERE place <= 40""") + """SELECT customer_id, article_id, target FROM (SELECT *, row_number() OVER (
+    FROM merged WHERE place <= 250""") + """SELECT customer_id, article_id, target FROM (SELECT *, row_number() OVER (
     PARTITION BY target ORDER BY md5(customer_id || '|' || article_id || '|42'), customer_id, article_id) AS n FROM lab)
     WHERE target = 1 OR n <= 10 * (SELECT sum(target) FROM lab)""")
 def negative_sampling(spark, folder):
@@ -567,11 +567,11 @@ def hit_rate_at_k(spark, folder):
 @query("candidate_recall", base(*MERGE_STEPS, "future", "truth") + f"""SELECT count(*) AS users,
     {steady_sql('avg(r)')} AS candidate_recall FROM (SELECT t.customer_id,
     avg(CASE WHEN m.article_id IS NULL THEN CAST(0 AS DOUBLE) ELSE 1 END) AS r FROM truth t
-    LEFT JOIN (SELECT * FROM merged WHERE place <= 40) m USING (customer_id, article_id) GROUP BY t.customer_id)""")
+    LEFT JOIN (SELECT * FROM merged WHERE place <= 250) m USING (customer_id, article_id) GROUP BY t.customer_id)""")
 def candidate_recall(spark, folder):
     case = Case(spark, folder)
     listed = case.merged.withColumn("rank", F.lit(1))
-    return steadied(R.candidate_recall(case.truth, listed, 40), {})
+    return steadied(R.candidate_recall(case.truth, listed, 250), {})
 
 
 def capped_sources(case):

@@ -23,10 +23,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def with_tables(*names: str, **extra: str) -> str:
+def with_tables(*names: str, _as: str = "AS", **extra: str) -> str:
     """``WITH`` clause of canonical tables followed by local definitions."""
-    parts = [f"{n} AS ({canonical.SQL[n]})" for n in names]
-    parts += [f"{n} AS ({body})" for n, body in extra.items()]
+    parts = [f"{n} {_as} ({canonical.SQL[n]})" for n in names]
+    parts += [f"{n} {_as} ({body})" for n, body in extra.items()]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 

@@ -9,7 +9,7 @@ from tidemark.operators import dialog as D
 from tidemark.operators import retrieval as RT
 from tidemark.operators import text as TX
 from tidemark.plans.registry import query, steadied, steady_sql, with_tables
-from tidemark.session import work_path
+from tidemark.session import materialized, work_path
 from tidemark.sources import canonical as C
 from tidemark.sources import readers
 
@@ -41,7 +41,7 @@ PARTS = f"""SELECT material_id, g, 0 AS w, string_agg(text, chr(10) || chr(10) O
     FROM numbered JOIN packed USING (material_id, k) WHERE n > 1200)"""
 CHUNKS = """SELECT material_id, no AS chunk_no, printf('chunk_%04d', no) AS chunk_id, text, source_start, source_end FROM (
     SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY g, w) AS no FROM parts WHERE length(text) > 0)"""
-QUESTIONS = """SELECT item_id AS question_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM benchmark"""
+QUESTIONS = """SELECT item_id AS question_id, text FROM benchmark"""
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 TF = f"""SELECT material_id, chunk_no, term, count(*) AS tf FROM
     (SELECT material_id, chunk_no, unnest({TOKENS}) AS term FROM chunks) GROUP BY ALL"""
@@ -75,9 +75,7 @@ def chunks_of(spark, folder):
 
 
 def questions_of(spark, folder):
-    words = F.slice(F.split("text", " "), 1, 12)
-    return readers.table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("question_id"), F.array_join(words, " ").alias("text"))
+    return readers.table(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
 
 @query("read_text_materials", with_tables("segments") + """SELECT lang, count(*) AS lines FROM segments
@@ -129,7 +127,8 @@ def tfidf_search(spark, folder):
     chr(10) || chr(10) ORDER BY rank) AS context
     FROM hits JOIN chunks USING (material_id, chunk_no) GROUP BY question_id""")
 def extractive_answer(spark, folder):
-    return RT.extractive_answer(hits_of(spark, folder), chunks_of(spark, folder))
+    chunks = materialized(chunks_of(spark, folder), "chunks")
+    return RT.extractive_answer(RT.tfidf_search(chunks, questions_of(spark, folder)), chunks)
 
 
 @query("embedding_knn", f"""SELECT query_id, vec_id, rank, {steady_sql('distance', 4)} AS distance FROM (
