@@ -16,6 +16,8 @@ UNKNOWN = "und"
 DIMENSIONS = 1024
 BLOCK = 1 << 19
 PIECE = 1 << 20
+GRAMS = 1 << 14
+LEAST = 1 << 9  # what a short text weighs in a block, which bounds the texts of a block
 SALTS = 32
 _LETTERS: list[np.ndarray] = []
 _VECTORS: dict[int, np.ndarray] = {}
@@ -72,11 +74,18 @@ def bundles(texts: list[str], owner: np.ndarray, owners: int) -> np.ndarray:
         place = (np.cumsum(there) - 1)[gram]
     else:
         distinct, place = np.unique(gram, return_inverse=True)
-    vectors = gram_vectors(distinct // size**2, distinct // size % size, distinct % size, letter_vectors(alphabet)).astype(np.float32)
     who, who_place = np.unique(owner, return_inverse=True)
-    cell = who_place[text[middle - 1]] * len(distinct) + place
-    counts = np.bincount(cell, minlength=len(who) * len(distinct)).astype(np.float32)
-    out[who] = counts.reshape(len(who), -1) @ vectors
+    row = who_place[text[middle - 1]]
+    order = np.argsort(place, kind="stable") if len(distinct) > GRAMS else slice(None)
+    row, place = row[order], place[order]
+    hands = letter_vectors(alphabet)
+    # Scripts with many letters have many trigrams: their vectors are made a bounded number at a time.
+    for low in range(0, len(distinct), GRAMS):
+        part = distinct[low : low + GRAMS]
+        x, y = np.searchsorted(place, [low, low + GRAMS]) if len(distinct) > GRAMS else (0, len(place))
+        vectors = gram_vectors(part // size**2, part // size % size, part % size, hands).astype(np.float32)
+        counts = np.bincount(row[x:y] * len(part) + place[x:y] - low, minlength=len(who) * len(part)).astype(np.float32)
+        out[who] += counts.reshape(len(who), -1) @ vectors
     return out
 
 
@@ -85,7 +94,7 @@ def batch_bundles(texts: list[str | None], owner: np.ndarray, owners: int) -> It
 
     Yields the rows of the block and one bundle for each of ``owners`` values.
     """
-    sizes = np.array([len(t) if t else 0 for t in texts])
+    sizes = np.array([LEAST + (len(t) if t else 0) for t in texts])
     for x, y in blocks(sizes, BLOCK):
         pieces, whose = [], []
         for i in range(x, y):
@@ -170,7 +179,7 @@ def identify_language(docs: DataFrame, learn: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            sizes = np.array([len(t) if t else 0 for t in texts])
+            sizes = np.array([LEAST + (len(t) if t else 0) for t in texts])
             for x, y in blocks(sizes, BLOCK) if names else ():
                 for _, v in batch_bundles(texts[x:y], np.arange(y - x), y - x):
                     some = np.flatnonzero(np.abs(v).sum(1) > 0)
