@@ -77,9 +77,11 @@ def exact_dedup(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> Data
     state = scratch.keep(first_seen(arrivals.select("id", "digest", "locator"), arrivals._scratch, files_per_batch))
     named = arrivals.join(state.withColumnRenamed("locator", "keep_locator"), "digest")
     # Only hits need their bytes: rows of a digest that more than one row has.
+    # Dealt by id before they are made distinct, so a digest with many rows does not stay in the task of its join.
+    wanted = state.where("n > 1").join(arrivals, "digest").select("id", "digest", "keep_id").repartition("id").distinct()
     hits = scratch.keep(
         docs.select(tables.ordered_id().alias("id"), text.alias("body"))
-        .join(state.where("n > 1").join(arrivals, "digest").select("id", "digest", "keep_id").distinct(), "id")
+        .join(wanted, "id")
         .where(F.sha2(F.col("body").cast("binary"), 256) == F.lower(F.hex("digest"))))
     kept_bytes = scratch.keep(hits.where("id = keep_id").groupBy("digest").agg(F.min("body").alias("kept_body")))
     odd = hits.join(kept_bytes, "digest").where("body <> kept_body").select("id", "digest", "body")
