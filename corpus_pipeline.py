@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import exact_dedup, language_id, mixing, near_dedup, packing, tables
 
 LEAST_LANGUAGE_SCORE = 0.5
+NEAR = near_dedup.Similar(width=5)  # two words are the contract of the query op6 alone
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id stays."""
-    stays = near_dedup.near_duplicates(docs).where("kept").select(tables.ordered_id().alias("_id"))
+    """Of each group of near-duplicates (five-word shingles, 0.8) the row with the smallest doc_id stays."""
+    stays = near_dedup.near_duplicates(docs, NEAR).where("kept").select(tables.ordered_id().alias("_id"))
     return docs.withColumn("_id", tables.ordered_id()).join(stays, "_id", "left_semi").select(*docs.columns)
 
 

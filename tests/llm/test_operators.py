@@ -276,3 +276,25 @@ def test_pipeline_on_odd_rows(spark, docs):
             assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in near_dedup.near_duplicates(before).collect() if r["kept"]}
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, FOLDER)
     assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def scattered(changed, prefix=""):
+    """200 distinct words, and the same with ``changed`` of them replaced far from each other."""
+    words = [f"{prefix}w{k}" for k in range(200)]
+    other = list(words)
+    for k in range(changed):
+        other[10 + 20 * k] = f"{prefix}new{k}"
+    return " ".join(words), " ".join(other)
+
+
+def test_near_stage_takes_five_words(spark):
+    """Eight scattered words: 183/215 by two words, 156/236 by five; two of them: 186/206 by five."""
+    rows = [(k, t) for k, t in enumerate([*scattered(8, "a"), *scattered(2, "b"), "x y", "x y z"])]
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))})
+    close = [(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert close == [(2, 3)]
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), FOLDER)
+    assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 4, 5}
