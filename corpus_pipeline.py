@@ -12,19 +12,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, mixing, near_dedup, packing, tables
 
-LEAST_LANGUAGE_SCORE = 0.5
 NEAR = near_dedup.Similar(width=5)  # two words are the contract of the query op6 alone
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows without a recognised language; name the language where it is null.
 
-    Rejected are texts without a letter, and texts no nearer to any language than
-    the mean of all languages is (score 0.5).
+    Rejected are texts without a letter, and texts whose trigrams are rarer in the
+    language found than those of nearly all rows learnt from (``recognise_language``).
     """
     learn = docs.where(~language_id.held_out() & F.col("doc_id").isNotNull())
-    found = language_id.identify_language(docs, learn)
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    kept = language_id.recognise_language(docs, learn).where("recognised")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

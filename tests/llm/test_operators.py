@@ -298,3 +298,26 @@ def test_near_stage_takes_five_words(spark):
     assert close == [(2, 3)]
     kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), FOLDER)
     assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 4, 5}
+
+
+def test_language_stage_rejects(spark):
+    """Gibberish and a language never learnt go; clean texts stay, short ones too."""
+    r = random.Random(4)
+    letters, vowels = "bcdfghklmnprstvz", "aeiou"
+
+    def vocabulary(seed, consonants, ending):
+        q = random.Random(seed)
+        return ["".join(q.choice(consonants) + q.choice(vowels) for _ in range(q.randint(1, 3))) + ending for _ in range(300)]
+
+    words = {"aa": vocabulary(1, letters[:6], "st"), "bb": vocabulary(2, letters[6:12], "rk"), "cc": vocabulary(3, letters[12:], "wyq")}
+    say = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    rows = [(k, say(lang, r.randint(20, 120)), lang) for k, lang in enumerate(["aa", "bb"] * 400)]
+    rows += [(10_000 + k, say("cc", 60), None) for k in range(20)]
+    rows += [(20_000 + k, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)), "aa") for k in range(3)]
+    rows += [(30_000 + k, say("aa", 4), None) for k in range(50)]
+    rows += [(40_000, None, "aa"), (40_001, "12 34", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, docs, FOLDER).collect()}
+    assert not [i for i in kept if 10_000 <= i < 30_000 or i >= 40_000]
+    assert all(kept.get(30_000 + k) == "aa" for k in range(50))
+    assert sum(i < 10_000 for i in kept) >= 799

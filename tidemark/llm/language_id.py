@@ -19,6 +19,8 @@ PIECE = 1 << 20
 GRAMS = 1 << 14
 LEAST = 1 << 9  # what a short text weighs in a block, which bounds the texts of a block
 SALTS = 32
+QUANTILE, SLACK = 0.99, 1.5
+SHORT = 100
 _LETTERS: list[np.ndarray] = []
 _VECTORS: dict[int, np.ndarray] = {}
 
@@ -161,40 +163,99 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
-def identify_language(docs: DataFrame, learn: DataFrame) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``.
+def letter_counts(texts: list[str | None]) -> np.ndarray:
+    """Letters of every text, which are its trigrams."""
+    codes = np.frombuffer("\0".join([*(t or "" for t in texts), ""]).encode("utf-32-le", "replace"), np.uint32)
+    starts = np.cumsum([0, *(len(t or "") + 1 for t in texts)])[:-1]
+    return np.add.reduceat(letters()[codes].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
 
-    ``learn`` has ``text, lang``; rows without ``lang`` are not used.  Prototypes
-    and documents are centred on the mean prototype, ``score`` is their cosine
-    moved from -1..1 to 0..1.  A null text and a text without a letter give
-    ``und`` and 0, as does a ``learn`` without rows.  Equal cosines go to the
-    first language in order.  All columns of ``docs`` stay; rows may repeat.
+
+def learnt(learn: DataFrame) -> DataFrame:
+    return learn.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+
+
+def predictions(docs: DataFrame, names: list[str], raw: np.ndarray) -> DataFrame:
+    """``docs`` with ``lang_pred, score, n_letters, n_apart, nearness``.
+
+    ``nearness`` is the projection of the mean trigram of a text, not centred, on
+    the prototype of ``lang_pred``: how usual its trigrams are in that language.
+    Its mean does not depend on the length of the text, as a cosine does.
+    ``n_apart`` is the number of trigrams that would say as much if all differed:
+    their number squared by the sum of the squares of their counts.
     """
-    known = learn.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    names, raw = prototypes(known)
     mean = unit(raw).mean(0) if names else np.zeros(DIMENSIONS)
     centred = unit(unit(raw) - (mean if len(names) > 1 else 0)) if names else raw
+    plain = unit(raw)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            count, apart, nearness = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             sizes = np.array([LEAST + (len(t) if t else 0) for t in texts])
             for x, y in blocks(sizes, BLOCK) if names else ():
+                count[x:y] = letter_counts(texts[x:y])
                 for _, v in batch_bundles(texts[x:y], np.arange(y - x), y - x):
                     some = np.flatnonzero(np.abs(v).sum(1) > 0)
                     cosine = unit(unit(v[some]) - (mean if len(names) > 1 else 0)) @ centred.T
                     best = cosine.argmax(1)
                     score[x + some] = np.clip((1 + cosine[np.arange(len(some)), best]) / 2, 0, 1)
+                    nearness[x + some] = (v[some] * plain[best]).sum(1) / np.maximum(count[x + some], 1)
+                    apart[x + some] = count[x + some] ** 2.0 * DIMENSIONS / np.square(v[some]).sum(1)
                     for i, k in zip(some, best):
                         label[x + i] = names[k]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(label, pa.string()), pa.array(score)],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                [*batch.columns, pa.array(label, pa.string()), pa.array(score), pa.array(count), pa.array(apart), pa.array(nearness)],
+                names=[*batch.schema.names, "lang_pred", "score", "n_letters", "n_apart", "nearness"])
 
-    fresh = docs.drop("lang_pred", "score")
+    fresh = docs.drop("lang_pred", "score", "n_letters", "n_apart", "nearness")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
-    return fresh.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return fresh.mapInArrow(predict, f"{kinds}, lang_pred string, score double, n_letters bigint, n_apart double, nearness double")
+
+
+def identify_language(docs: DataFrame, learn: DataFrame) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``.
+
+    ``learn`` has ``text, lang``; rows without ``lang`` are not used.  Prototypes
+    and documents are centred on the mean prototype, ``score`` is their cosine
+    moved from -1..1 to 0..1.  A null text and a text without a letter give
+    ``und`` and 0, as does a ``learn`` without rows.  Equal cosines go to the
+    first language in order.  All columns of ``docs`` stay; rows may repeat.
+    """
+    return predictions(docs, *prototypes(learnt(learn))).drop("n_letters", "n_apart", "nearness")
+
+
+def shortfall(usual: F.Column) -> F.Column:
+    """How far ``nearness`` is below that of the language, in units of what one trigram varies.
+
+    The mean of n different trigrams varies with 1 / sqrt(n).
+    """
+    return (1 - F.col("nearness") / usual) * F.sqrt("n_apart")
+
+
+def recognise_language(docs: DataFrame, learn: DataFrame) -> DataFrame:
+    """``docs`` with ``lang_pred, score, recognised``.
+
+    A language is recognised if ``shortfall`` is no more than ``SLACK`` times its
+    ``QUANTILE`` among all learnt rows that were found in their own language.  Each
+    of them counts twice, whole and with its first ``SHORT`` characters alone, so
+    the bound holds for short texts.  Two or three words can hardly fail it.
+    """
+    names, raw = prototypes(learnt(learn))
+    both = learnt(learn).select("lang", F.explode(F.array("text", F.substring("text", 1, SHORT))).alias("text"))
+    scratch = tables.Scratch(docs.sparkSession, "language")
+    own = scratch.keep(predictions(both, names, raw).where("lang = lang_pred").select("lang", "n_letters", "n_apart", "nearness"))
+    usual = own.groupBy("lang").agg((F.sum(F.col("nearness") * F.col("n_letters")) / F.sum("n_letters")).alias("usual"))
+    # One row for each language.
+    bounds = own.join(F.broadcast(usual), "lang").groupBy("lang").agg(
+        F.max("usual").alias("usual"), F.percentile_approx(shortfall(F.col("usual")), F.lit(QUANTILE), F.lit(10_000)).alias("bound")).collect()
+    scratch.drop(own)
+    found = predictions(docs, names, raw)
+    usual = bound = F.lit(None).cast("double")
+    for r in bounds:
+        usual = F.when(F.col("lang_pred") == r["lang"], r["usual"]).otherwise(usual)
+        bound = F.when(F.col("lang_pred") == r["lang"], SLACK * max(r["bound"], 0.0)).otherwise(bound)
+    return found.withColumn("recognised", F.coalesce(shortfall(usual) <= bound, F.lit(False))).drop("n_letters", "n_apart", "nearness")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
