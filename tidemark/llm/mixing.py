@@ -95,6 +95,11 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     is taken only if its leaf's budget reaches it.  Equal ids are ordered by their
     tokens and text; other columns are ignored.
     """
+    return mixed_rows(docs, mix).drop("text_hash")
+
+
+def mixed_rows(docs: DataFrame, mix: Mix) -> DataFrame:
+    """``mix_sources`` with the ``text_hash`` of every row, which tells rows of one doc_id apart."""
     scratch = tables.Scratch(docs.sparkSession, "mixing")
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     source = F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN))
@@ -111,7 +116,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         # One row for each leaf; Spark's own size check decides how it travels.
         left = (F.col("budget") - epoch * F.col("tokens")) > F.col("cum_n_tokens") - F.col("n_tokens")
         out = ranked.join(budgets, list(LEVELS)).select(*out.columns[:-1], (F.col("copies") + left.cast("bigint")).alias("copies"))
-    return out.join(budgets, list(LEVELS)).select("doc_id", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget"), "copies")
+    return out.join(budgets, list(LEVELS)).select("doc_id", *LEVELS, "n_tokens", "text_hash", F.col("budget").alias("leaf_budget"), "copies")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
