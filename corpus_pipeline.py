@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, mixing, near_dedup, packing, tables
 
-MIX = mixing.Mix(share=1000, epochs=2)  # as many tokens as there are; a short leaf repeats once before its siblings get its budget
 NEAR = near_dedup.Similar(width=5)  # two words are the contract of the query op6 alone
 
 
@@ -42,7 +41,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the budget of its leaf takes it."""
-    taken = mixing.mixed_rows(docs, MIX).groupBy(tables.ordered_id().alias("_id"), F.col("text_hash").alias("_hash")).agg(
+    taken = mixing.mixed_rows(docs, mixing.Mix()).groupBy(tables.ordered_id().alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.max("copies").alias("_copies")).where("_copies > 0")
     named = docs.withColumn("_id", tables.ordered_id()).withColumn("_hash", F.xxhash64("text")).join(taken, ["_id", "_hash"])
     return named.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
