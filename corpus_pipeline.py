@@ -35,8 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, 0.8) the row with the smallest doc_id stays."""
-    stays = near_dedup.near_duplicates(docs, NEAR).where("kept").select(tables.ordered_id().alias("_id"))
-    return docs.withColumn("_id", tables.ordered_id()).join(stays, "_id", "left_semi").select(*docs.columns)
+    stays = near_dedup.near_rows(docs, NEAR).where("kept").select(tables.ordered_id().alias("_id"), F.col("digest").alias("_digest"))
+    named = docs.withColumn("_id", tables.ordered_id()).withColumn("_digest", near_dedup.text_digest())
+    return named.join(stays, ["_id", "_digest"], "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

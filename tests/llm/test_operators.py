@@ -329,3 +329,37 @@ def test_mixing_stage_tells_rows_of_one_id_apart(spark):
     want = [r["n_tokens"] for r in mixing.mix_sources(docs).collect() if r["copies"]]
     got = [len(r["text"].split()) for r in corpus_pipeline.mix(spark, docs, FOLDER).collect()]
     assert sorted(got) == sorted(want) and len(want) < len(rows)
+
+
+def odd_ids():
+    """Null and repeated ids over different texts, some of them near copies of others."""
+    a, b, c, d = (scattered(1, p) for p in "pqrs")
+    clean = [" ".join(f"c{k}x{n}" for n in range(220)) for k in range(6)]
+    return [(5, a[0]), (None, a[1]), (None, b[0]), (None, b[1]), (None, clean[0]), (None, clean[1]), (7, c[0]), (7, clean[2]), (7, clean[3]),
+            (8, c[1]), (9, d[0]), (9, d[1]), (9, clean[4]), (6, clean[5])]
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    rows = odd_ids()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(r["text"] for r in corpus_pipeline.near(spark, docs, FOLDER).collect())
+    lost = [rows[1][1], rows[9][1]]  # a null id linked with 5, and 8 linked with one text of 7
+    for one, two in ((rows[2][1], rows[3][1]), (rows[10][1], rows[11][1])):  # null with null, 9 with 9
+        assert (one in kept) != (two in kept)
+        lost.append(two if one in kept else one)
+    assert kept == sorted(t for _, t in rows if t not in lost)
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(docs, corpus_pipeline.NEAR).collect()))
+    assert got == sorted([(5, 5, True), (0, 5, False), (0, 0, True), (0, 0, False), (0, 0, True), (0, 0, True), (7, 7, True), (7, 7, True), (7, 7, True),
+                          (8, 7, False), (9, 9, True), (9, 9, False), (9, 9, True), (6, 6, True)])
+
+
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_cuts_tell_rows_of_one_id_apart(spark, kind):
+    rows = odd_ids() + [(1, "lead " + odd_ids()[2][1]), (2, "tail " * 9 + odd_ids()[6][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    if kind == "words":
+        want = cut_brute(rows, lambda t: t.encode().split(), 50, b" ".join)
+        assert cut_rows(substring_dedup.substring_dedup(docs), "n_words") == want
+    else:
+        want = cut_brute(rows, lambda t: t.encode(), 50, bytes)
+        assert cut_rows(suffix_dedup.suffix_dedup(docs), "n_bytes") == want

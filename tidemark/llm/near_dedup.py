@@ -59,7 +59,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def sketches(docs: DataFrame, similar: Similar) -> DataFrame:
-    """``id, n_shingles, print, sketch`` of every row.
+    """``id, digest, n_shingles, print, sketch`` of every row of ``id, digest, text``.
 
     ``print`` is equal for equal sets only (128 bits); ``sketch`` has the low 16
     bits of ``COORDINATES`` minwise tokens, and behind them a bitmap of the set.
@@ -87,11 +87,11 @@ def sketches(docs: DataFrame, similar: Similar) -> DataFrame:
                 sketch = np.concatenate((sketch.view(np.uint8), np.packbits(bits, axis=1)), axis=1)
                 names = np.column_stack(both)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(x, y - x), pa.array(n.astype(np.int64)),
+                    batch.column("id").slice(x, y - x), batch.column("digest").slice(x, y - x), pa.array(n.astype(np.int64)),
                     pa.array([r.tobytes() for r in names], pa.binary()), pa.array([r.tobytes() for r in sketch], pa.binary())],
-                    names=["id", "n_shingles", "print", "sketch"])
+                    names=["id", "digest", "n_shingles", "print", "sketch"])
 
-    return docs.mapInArrow(make, "id bigint, n_shingles bigint, print binary, sketch binary")
+    return docs.mapInArrow(make, "id bigint, digest binary, n_shingles bigint, print binary, sketch binary")
 
 
 def sketch_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -383,24 +383,38 @@ def components(links: DataFrame, scratch: tables.Scratch) -> DataFrame:
             return labels
 
 
+def text_digest() -> F.Column:
+    """With the doc_id it names a row; rows equal in both are one document."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
 def near_duplicates(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
-    Rows with equal sets form one class before the join; a class has the smallest
-    doc_id of its rows (a null doc_id counts as the largest).  Classes branch down
+    Rows with equal sets form one class before the join, which has a number of its
+    own: doc_ids may be null or repeated.  They only give the order (a null one is
+    the largest): a component is named by its smallest doc_id.  Classes branch down
     the trees of a ``Forest``, leaves give pairs, sketches drop hopeless pairs and
     full sets confirm links.  The members of a leaf are first compared with one of
     them, then with drawn ones, and those that are still apart with all others, so
     a leaf full of near copies costs few pairs.  A null text and one without words have an empty set, which is
-    linked with nothing.  Of rows that share the smallest doc_id all are kept, for
-    they are one document.  Columns besides ``doc_id`` and ``text`` are ignored.
+    linked with nothing.  The row with the smallest doc_id is kept, of different texts
+    with that doc_id the one with the lowest digest; rows equal in doc_id and text are
+    one document and share its fate.  Columns besides ``doc_id`` and ``text`` are ignored.
     """
+    return near_rows(docs, similar).drop("digest")
+
+
+def near_rows(docs: DataFrame, similar: Similar) -> DataFrame:
+    """``near_duplicates`` with the ``digest`` of every row."""
     spark = docs.sparkSession
     scratch = tables.Scratch(spark, "near")
-    base = docs.select(tables.ordered_id().alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    base = docs.select(tables.ordered_id().alias("id"), text_digest().alias("digest"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = scratch.keep(sketches(base, similar))
-    sets = scratch.keep(rows.where("n_shingles > 0").groupBy("print").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("s")).select(
-        "print", "s.id", "s.n_shingles", "s.sketch", F.col("s.id").alias("label")))
+    classes = rows.where("n_shingles > 0").groupBy("print").agg(F.min(F.struct("id", "digest", "n_shingles", "sketch")).alias("s"))
+    # Numbers are given while the table is written; from here on ``id`` is the number of a class.
+    numbered = scratch.keep(classes.select("print", F.monotonically_increasing_id().alias("id"), F.col("s.id").alias("doc_id"), "s.digest", "s.n_shingles", "s.sketch"))
+    sets = numbered.withColumn("label", F.col("id"))
     n = sets.count()
     forest = Forest(n, similar.percent / 100)
     buckets = max(64, n * len(forest.paths) // 500_000)
@@ -414,9 +428,9 @@ def near_duplicates(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
 
     def link(hopeful: DataFrame) -> DataFrame:
         ends = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        # One text for each class: rows that share an id may differ.
-        wanted = ends.join(sets.select("id", "print"), "id")
-        texts = base.join(wanted, "id").groupBy("id", "print").agg(F.min("text").alias("text")).select("id", "text")
+        # One text for each class, that of its first row.
+        wanted = ends.join(sets.select("id", "doc_id", "digest"), "id")
+        texts = base.withColumnRenamed("id", "doc_id").join(wanted, ["doc_id", "digest"]).groupBy("id").agg(F.min("text").alias("text"))
         return scratch.keep(confirmed(hopeful, scratch.keep(texts), similar))
 
     labelled, links = sets, None
@@ -428,10 +442,15 @@ def near_duplicates(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
         links = new if links is None else scratch.keep(links.union(new))
         labels = components(links, scratch)
         labelled = scratch.keep(sets.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    return rows.join(labelled.select("print", "label"), "print", "left").select(
+    named = labelled.select("print", "label", F.struct(F.col("doc_id").alias("id"), "digest").alias("own"))
+    first = named.groupBy("label").agg(F.min("own").alias("first"))
+    # Like the classes, one row each; components are at most as many.
+    found = rows.select("id", "digest", "n_shingles", "print").join(named.join(first, "label").select("print", "first"), "print", "left")
+    mine = F.struct("id", "digest")
+    first = F.coalesce("first", mine)
+    return found.select(
         F.nullif("id", F.lit(tables.LAST_ID)).alias("doc_id"), "n_shingles",
-        F.nullif(F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")), F.lit(tables.LAST_ID)).alias("component_id"),
-        (F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")) == F.col("id")).alias("kept"))
+        F.nullif(first["id"], F.lit(tables.LAST_ID)).alias("component_id"), (first == mine).alias("kept"), "digest")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ record for each block.  Equality is decided by more than 96 bits of hash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -297,6 +298,27 @@ def texts_of(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unpack(docs.column("doc_ids").to_pylist(), np.int64, True), data, np.concatenate(([0], np.cumsum(sizes)))
 
 
+AT = 32  # bits of a position; above them stands which of the texts of its doc_id it is in
+
+
+def text_ranks(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rank of each text among the different texts of its doc_id, by digest, in whatever order the rows come.
+
+    All rows of a doc_id are in one part, so rank and doc_id name a text.
+    """
+    out = np.zeros(len(ids), np.int64)
+    names, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(counts[which] > 1)
+    groups: dict[int, dict[bytes, list[int]]] = {}
+    for i in again.tolist():
+        digest = hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest()
+        groups.setdefault(int(which[i]), {}).setdefault(digest, []).append(i)
+    for group in groups.values():
+        for rank, digest in enumerate(sorted(group)):
+            out[group[digest]] = rank
+    return out
+
+
 def look_into(docs: pa.Table, answers: pa.Table, scan: Scan, buckets: int, parts: int) -> pa.Table:
     """Third pass, task side: covered spans, and windows of the spans' first holders."""
     out = [PACKED_ARROW.empty_table()]
@@ -307,6 +329,7 @@ def look_into(docs: pa.Table, answers: pa.Table, scan: Scan, buckets: int, parts
     order = np.argsort(key, kind="stable")
     key, state = key[order], state[order]
     doc_ids, data, offsets = texts_of(docs)
+    ranks = text_ranks(doc_ids, data, offsets)
     cover: list[tuple[np.ndarray, ...]] = []
     fine: list[tuple[np.ndarray, ...]] = []
     for x, y in S.blocks(np.diff(offsets), BLOCK):
@@ -319,7 +342,7 @@ def look_into(docs: pa.Table, answers: pa.Table, scan: Scan, buckets: int, parts
         want = _keyed(found.span, who)
         place = np.minimum(np.searchsorted(key, want), len(key) - 1)
         verdict = np.where(key[place] == want, state[place], 0)
-        at = found.first - starts[found.doc]
+        at = found.first - starts[found.doc] + (ranks[x:y][found.doc] << AT)
         hit = verdict == COVERED
         cover.append((who[hit], at[hit], (found.last - found.first)[hit] + scan.length))
         owners = np.flatnonzero(verdict == OWNER)
@@ -371,9 +394,10 @@ CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_symbol
 def cut(docs: pa.Table, answers: pa.Table, scan: Scan) -> pa.Table:
     """Take the covered symbols out of each text; spans are in symbols of the input."""
     at, size, ids = _columns(answers, np.int64, np.int64)
-    order = np.argsort(ids, kind="stable")
+    order = np.lexsort((at, ids))
     at, size, ids = at[order], size[order], ids[order]
     who, data, offsets = texts_of(docs)
+    ranks = text_ranks(who, data, offsets)
     lows, highs = np.searchsorted(ids, who), np.searchsorted(ids, who, "right")
     rows: list[list] = [[], [], [], [], [], []]
     for i, doc in enumerate(who):
@@ -381,11 +405,11 @@ def cut(docs: pa.Table, answers: pa.Table, scan: Scan) -> pa.Table:
         words = body.tobytes().split() if scan.kind == "words" else None
         n = len(body) if words is None else len(words)
         starts = ends = np.zeros(0, np.int64)
-        if highs[i] > lows[i]:
-            mine, width = at[lows[i] : highs[i]], size[lows[i] : highs[i]]
-            # Rows that share a doc_id share their answers; each keeps what fits it.
-            fits = mine + width <= n
-            edge = np.bincount(mine[fits], minlength=n + 1) - np.bincount((mine + width)[fits], minlength=n + 1)
+        # Rows that share doc_id and text share their answers.
+        low, high = lows[i] + np.searchsorted(at[lows[i] : highs[i]], [ranks[i] << AT, (ranks[i] + 1) << AT])
+        if high > low:
+            mine, width = at[low:high] - (ranks[i] << AT), size[low:high]
+            edge = np.bincount(mine, minlength=n + 1) - np.bincount(mine + width, minlength=n + 1)
             gone = np.concatenate(([0], (np.cumsum(edge[:n]) > 0).astype(np.int8), [0]))
             turn = np.diff(gone)
             starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
