@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from tidemark.llm import (
     exact_dedup,
+    fingerprints,
     language_id,
     mixing,
     near_dedup,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
 
