@@ -15,6 +15,7 @@ from tidemark.llm import (
     substring_dedup,
     suffix_dedup,
     toxicity,
+    vector_codes,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op13_fingerprints": fingerprints.op13_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
@@ -37,4 +39,5 @@ ORACLES = {
     "op4_sharding": sharding.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
 }
