@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidemark.llm import (
+    collocations,
     exact_dedup,
     fingerprints,
     language_id,
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_collocations": collocations.op12_collocations,
     "op13_fingerprints": fingerprints.op13_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
@@ -40,4 +42,5 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
