@@ -168,9 +168,11 @@ def edited_neighbours(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     classes = rows.select("id", "digest", F.length("text").cast("bigint").alias("n_chars")).distinct()
     order = successors(classes, scratch)
 
+    # Both uses of ``whole`` read all of its columns (hence the condition), so one exchange serves both.
     whole = (
         rows.withColumn("print", fingerprint(F.col("text"), sketch)).groupBy("id", "digest")
-        .agg(F.first(F.struct("text", "print")).alias("doc"), F.count(F.lit(1)).alias("n")).join(order, ["id", "digest"]))
+        .agg(F.first(F.struct("text", "print")).alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 0")
+        .join(order, ["id", "digest"]))
     quarter = F.floor(F.col("prev.n_chars") / 4).cast("int")
     heads = whole.select(
         F.col("prev.id").alias("id"), F.col("prev.digest").alias("digest"), F.substring(F.col("doc.text"), F.lit(1), quarter).alias("head"),
