@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import binary_metrics as B
+from tidemark.operators import boosting
 from tidemark.operators.credit import balanced_weights, classify_threshold, risk_bands
 from tidemark.operators.splits import stratified_kfold
 from tidemark.session import materialized
@@ -95,7 +96,9 @@ def boosted_trees(
     label: str = LABEL, weight: str | None = "weight", seed: int = 42, max_bins: int = 64,
     validation: str | None = None,
 ) -> Pipeline:
-    """Gradient-boosted trees; text columns are indexed, ``Unknown`` fills gaps.
+    """MLlib's gradient-boosted trees, for pipelines that must stay MLlib (see ``boosted_model``).
+
+    Text columns are indexed, ``Unknown`` fills gaps.
 
     With a ``validation`` indicator column, boosting stops when the loss on those
     rows no longer falls, however small the last gain was.  ``max_bins`` grows to
@@ -125,16 +128,26 @@ def boosted_trees(
     return Pipeline(stages=stages)
 
 
-def score(model: PipelineModel, data: DataFrame, keep: Sequence[str], name: str = "p") -> DataFrame:
+def boosted_model(data: DataFrame, features: Sequence[str], spec: boosting.Boosting = boosting.Boosting()) -> boosting.BoostedEstimator:
+    """The full boosting schedule on balanced clients, as ``cv_out_of_fold`` and ``train_and_holdout`` take it."""
+    return boosting.BoostedEstimator(tuple(features), (KEY,), LABEL, "weight", None, spec)
+
+
+Model = PipelineModel | boosting.Boosted
+
+
+def score(model: Model, data: DataFrame, keep: Sequence[str], name: str = "p") -> DataFrame:
     """Positive-class probability next to the kept columns."""
+    if isinstance(model, boosting.Boosted):
+        return model.score(data, keep, name)
     return model.transform(data).select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias(name))
 
 
-def ranker_score(model: PipelineModel, candidates: DataFrame) -> DataFrame:
+def ranker_score(model: Model, candidates: DataFrame) -> DataFrame:
     return score(model, candidates, ["customer_id", "article_id"], "score")
 
 
-Builder = Callable[[DataFrame, Sequence[str]], Pipeline]
+Builder = Callable[[DataFrame, Sequence[str]], Pipeline | boosting.BoostedEstimator]
 
 
 def cv_out_of_fold(data: DataFrame, build: Builder, folds: int = 3, seed: int = 42) -> DataFrame:
