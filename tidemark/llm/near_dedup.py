@@ -308,7 +308,8 @@ def tile_pairs(members: DataFrame, sets: DataFrame, similar: Similar) -> DataFra
         x, y = ia[x[good]], ib[y[good]]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema=PAIRS_ARROW)
 
-    return tiled.groupBy("hub", "i", "j").applyInArrow(compare, PAIRS).distinct()
+    # The join by hub satisfies a grouping by hub and tile; a key of its own deals the tiles out.
+    return tiled.withColumn("tile", F.xxhash64("hub", "i", "j")).groupBy("tile").applyInArrow(compare, PAIRS).distinct()
 
 
 def _pair_table(out: list, ids: np.ndarray, size: np.ndarray, similar: Similar) -> pa.Table:

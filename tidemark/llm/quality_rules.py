@@ -63,7 +63,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndar
     in_words = np.concatenate(([0], np.cumsum(inside)))
     worded = in_words[stop] > in_words[begin]
     begin, stop, doc_of_line = begin[worded], stop[worded], doc_of_line[worded]
-    lines = S.mix(S.span_hash(S.prefix_sums(S.byte_values(3)[data]), begin, stop) ^ salt[doc_of_line])
+    lines = S.mix(S.sequence_hashes(S.byte_values(3)[data], begin, stop) ^ salt[doc_of_line])
     distinct = np.unique(lines, return_index=True)[1]
     n_lines = np.bincount(doc_of_line, minlength=n)
     dup_lines = n_lines - np.bincount(doc_of_line[distinct], minlength=n)
