@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import tables
 from tidemark.llm.symbols import blocks
@@ -209,8 +210,8 @@ def predictions(docs: DataFrame, names: list[str], raw: np.ndarray) -> DataFrame
                 names=[*batch.schema.names, "lang_pred", "score", "n_letters", "n_apart", "nearness"])
 
     fresh = docs.drop("lang_pred", "score", "n_letters", "n_apart", "nearness")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
-    return fresh.mapInArrow(predict, f"{kinds}, lang_pred string, score double, n_letters bigint, n_apart double, nearness double")
+    more = T.StructType.fromDDL("lang_pred string, score double, n_letters bigint, n_apart double, nearness double")
+    return fresh.mapInArrow(predict, T.StructType([*fresh.schema.fields, *more.fields]))
 
 
 def identify_language(docs: DataFrame, learn: DataFrame) -> DataFrame:
@@ -220,7 +221,8 @@ def identify_language(docs: DataFrame, learn: DataFrame) -> DataFrame:
     and documents are centred on the mean prototype, ``score`` is their cosine
     moved from -1..1 to 0..1.  A null text and a text without a letter give
     ``und`` and 0, as does a ``learn`` without rows.  Equal cosines go to the
-    first language in order.  All columns of ``docs`` stay; rows may repeat.
+    first language in order.  All columns of ``docs`` stay but those named ``lang_pred,
+    score, n_letters, n_apart`` or ``nearness``; rows may repeat.
     """
     return predictions(docs, *prototypes(learnt(learn))).drop("n_letters", "n_apart", "nearness")
 

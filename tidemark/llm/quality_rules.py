@@ -200,15 +200,16 @@ def verdict(rules: Sequence[Rule]) -> Column:
 def learn_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from at most ``sample`` labelled rows, the first by md5 of the id.
 
-    Of rows with one id the lower quality counts.  Rules are for rows that the
+    Of rows with one id one counts, with the lower quality.  Rules are for rows that the
     base limits let pass.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.md5(F.col("doc_id").cast("string"))
-    rows = (
-        stats.where(~base_failed()).join(known, "doc_id").withColumn("_order", order)
-        .orderBy("_order", *MEASURES).limit(sample).select("_order", "quality", *MEASURES).collect()
-    )
+    joined = stats.where(~base_failed()).join(known, "doc_id")
+    single = tables.Scratch(stats.sparkSession, "labelled").keep(
+        joined.groupBy("doc_id", "quality").agg(F.min(F.struct(*MEASURES)).alias("m")).select("doc_id", "quality", "m.*"))
+    first = tables.first_by_hash(single, "doc_id", sample).withColumn("_order", order)
+    rows = first.orderBy("_order", "doc_id").limit(sample).select("_order", "quality", *MEASURES).collect()
     if not rows:
         return []
     values = {m: np.array([r[m] for r in rows]) for m in MEASURES}

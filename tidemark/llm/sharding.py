@@ -12,12 +12,18 @@ from tidemark.llm import tables
 LIMIT = 1 << 20
 BITS = 60
 STEP = 6
+ID_DIGITS = 10
 
 
-def hash_bits(column: str = "doc_id") -> Column:
-    """The first 60 bits of md5, which any engine can repeat; null hashes as the empty text."""
-    digest = F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
-    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("bigint")
+def hash_bits(column: str = "doc_id", text: str = "text") -> Column:
+    """40 bits of the id's md5 and 20 of the text's, which any engine can repeat.
+
+    A null id takes all bits from the text, so rows without an id, like those that
+    share one, can be told apart.
+    """
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    named = F.md5(F.coalesce(F.col(column).cast("string").cast("binary"), F.unhex(F.sha2(body, 256))))
+    return F.conv(F.concat(F.substring(named, 1, ID_DIGITS), F.substring(F.md5(body), 1, BITS // 4 - ID_DIGITS)), 16, 10).cast("bigint")
 
 
 def directory(sizes: DataFrame, limit: int) -> DataFrame:
@@ -49,8 +55,9 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, depth, prefix, shard_bytes, oversize`` of every row of ``docs``.
 
     A shard is named by its hash prefix: ``depth`` bits with value ``prefix``.  A
-    null text has no bytes.  Rows of one doc_id stay together; a shard is over the
-    limit (``oversize``) only if a single doc_id is.  Columns besides ``doc_id``
+    null text has no bytes.  Rows of one doc_id stay together to a depth of 40 bits,
+    beyond that rows of one doc_id and text; a shard is over the limit (``oversize``)
+    only if these are.  Columns besides ``doc_id``
     and ``text`` are ignored.
     """
     scratch = tables.Scratch(docs.sparkSession, "sharding")

@@ -158,17 +158,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
     The classifier is fitted on at most ``sample`` rows of ``labels`` (``doc_id,
     toxic``) outside the held-out rest, the first by md5 of the id; equal ids count
-    once, with the higher label.  Null and empty texts get the score of a text
+    once, with the higher label and the least of their texts.  Null and empty texts get the score of a text
     without features.  Columns besides ``doc_id`` and ``text`` are ignored, rows may
     repeat; a null doc_id is never learnt from.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+    chosen = tables.first_by_hash(chosen, "doc_id", sample).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     base = docs.select("doc_id", "text", held_out().alias("held_out"))
     scratch = tables.Scratch(docs.sparkSession, "toxicity")
     # At most ``sample`` ids: a proven bound for the broadcast.
-    labelled = scratch.keep(base.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "label"))
+    found = base.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    labelled = scratch.keep(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label"))
     model = train(labelled)
     scratch.drop(labelled)
 
