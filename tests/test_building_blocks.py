@@ -321,4 +321,4 @@ def test_failed_publish_keeps_the_old_table(spark):
     sinks.save_table(spark.range(3), path)
     with pytest.raises(Exception):
         sinks.publish(spark, f"{path}.never_written", path)
-    assert spark.read.parquet(path).count() == 3
+    assert sinks.read_published(spark, path).count() == 3

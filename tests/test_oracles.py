@@ -33,4 +33,4 @@ def test_entry(spark):
 
 def test_every_query_is_registered_once():
     assert set(ORACLES) <= set(QUERIES)
-    assert len(catalog.QUERIES) == 140
+    assert len(catalog.QUERIES) == 142

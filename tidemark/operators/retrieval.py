@@ -100,6 +100,35 @@ def tfidf_search(
     return ranked(winners, max(1, top_k), "question_id", keys)
 
 
+def material_search(
+    chunks: DataFrame, questions: DataFrame, top_k: int = 4, material: str = "material_id", order: str = "chunk_no",
+    index: DataFrame | None = None, idf: DataFrame | None = None,
+) -> DataFrame:
+    """Best chunks of one material for each ``(question_id, material_id, text)``.
+
+    Every material has its own vocabulary and weights.  Question terms meet the
+    postings of their material by ``(material, term)``, a pair that no material owns
+    alone, and the products are added up: no chunk is read that shares no word.
+    Chunks without a common word score 0 and may fill a short list; only the first
+    ``top_k`` chunks of a material can get that far.  Ties follow the chunk order.
+    """
+    keys, k = [material, order], max(1, top_k)
+    if index is None or idf is None:
+        counts = materialized(term_counts(chunks, keys), "term_counts")
+        idf = materialized(inverse_frequencies(counts, chunks, [material]), "idf")
+        index = tfidf_index(chunks, [material], keys, counts, idf)
+    asked = term_counts(questions, ["question_id", material]).join(idf, [material, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("question_id", material)))
+    weighted = asked.select("question_id", material, "term", (F.col("_w") / norm).alias("_q"))
+    hits = weighted.join(index, [material, "term"]).groupBy("question_id", *keys).agg(F.sum(F.col("_q") * F.col("weight")).alias("score"))
+    first = chunks.select(*keys).withColumn("_n", F.row_number().over(Window.partitionBy(material).orderBy(order))).where(F.col("_n") <= k)
+    fill = questions.select("question_id", material).distinct().join(first.drop("_n"), material).select(
+        "question_id", *keys, F.lit(0.0).alias("score"))
+    found = hits.select("question_id", *keys, "score").unionByName(fill).groupBy("question_id", *keys).agg(F.round(F.max("score"), 9).alias("score"))
+    place = Window.partitionBy("question_id", material).orderBy(F.desc("score"), order)
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
 def extractive_answer(hits: DataFrame, chunks: DataFrame, keys: Sequence[str] = CHUNK, excerpt: int = 500) -> DataFrame:
     """Answer text, source list and context block per question (at most k sources each)."""
     joined = hits.join(chunks, list(keys))

@@ -211,7 +211,7 @@ LESSONS = """SELECT user_id % 20 AS grp, isodow(ts) AS day, CAST(hour(ts) AS BIG
     event_type || CASE event_id % 3 WHEN 0 THEN ' [Пр]' WHEN 1 THEN ' [Лаб]' ELSE ' [Лек]' END AS subject,
     't' || user_id % 3 AS teacher, CAST(ts AS DATE) AS d FROM events"""
 SLOTS = """SELECT CAST(h AS BIGINT) AS code, printf('%02d:00', h) AS time_from, printf('%02d:45', h) AS time_to
-    FROM (SELECT DISTINCT hour(ts) AS h FROM events) WHERE h <> 13"""
+    FROM (SELECT DISTINCT hour(ts) AS h FROM events)"""
 
 
 def lessons_of(spark, folder):
@@ -224,17 +224,15 @@ def lessons_of(spark, folder):
     )
 
 
-@query("schedule_with_gaps", with_tables(a=LESSONS, s=SLOTS, l="""SELECT DISTINCT grp, day, code, subject, teacher FROM a
-    WHERE subject LIKE '%error%' AND code <> 13""", b="SELECT grp, day, min(code) AS lo, max(code) AS hi FROM l GROUP BY ALL") + """
+@query("schedule_with_gaps", with_tables(a=LESSONS, s=SLOTS, l="""SELECT DISTINCT grp, day, code, subject, teacher FROM a""", b="SELECT grp, day, min(code) AS lo, max(code) AS hi FROM l GROUP BY ALL") + """
     SELECT b.grp, b.day, s.code, time_from, time_to, coalesce(subject, 'окно') AS subject, teacher, subject IS NULL AS is_gap
     FROM b JOIN s ON s.code BETWEEN lo AND hi LEFT JOIN l ON l.grp = b.grp AND l.day = b.day AND l.code = s.code""")
 def schedule_with_gaps(spark, folder):
-    """Error events as lessons: rare enough to leave gaps between used hours."""
+    """All events as lessons of their group, day and hour."""
     rows = lessons_of(spark, folder)
-    slots = rows.select("code").distinct().where("code <> 13").select(
+    slots = rows.select("code").distinct().select(
         "code", F.format_string("%02d:00", "code").alias("time_from"), F.format_string("%02d:45", "code").alias("time_to"))
-    lessons = rows.where(F.col("subject").contains("error") & (F.col("code") != 13)).drop("d")
-    return J.schedule_with_gaps(lessons, slots, ["grp", "day"])
+    return J.schedule_with_gaps(rows.drop("d"), slots, ["grp", "day"])
 
 
 @query("parity_variant", with_tables(a=LESSONS, m="""SELECT *, split_part(subject, ' [', 1) AS base, 1 + (((d - DATE '2023-09-01') // 7) % 4) % 2 AS parity

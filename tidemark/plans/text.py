@@ -131,6 +131,51 @@ def extractive_answer(spark, folder):
     return RT.extractive_answer(RT.tfidf_search(chunks, questions_of(spark, folder)), chunks)
 
 
+def asked_of(spark, folder):
+    """Each material is asked one question of the benchmark, dealt by its number."""
+    items = readers.table(spark, folder, "benchmark").select("item_id", "text")
+    size = items.agg(F.count(F.lit(1))).scalar()
+    materials = readers.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("question_id"), F.col("doc_id").alias("material_id"), F.pmod("doc_id", size).alias("item_id"))
+    return materials.join(items, "item_id").select("question_id", "material_id", "text")
+
+
+ASKED = """SELECT doc_id AS question_id, doc_id AS material_id, b.text FROM documents
+    JOIN benchmark b ON b.item_id = doc_id % (SELECT count(*) FROM benchmark)"""
+OWN_IDF = """SELECT material_id, term, ln((1.0 + any_value(size)) / (1.0 + count(*))) + 1 AS idf
+    FROM tf JOIN (SELECT material_id, count(*) AS size FROM chunks GROUP BY ALL) USING (material_id) GROUP BY material_id, term"""
+OWN_INDEX = """SELECT material_id, chunk_no, term, w / sqrt(sum(w * w) OVER (PARTITION BY material_id, chunk_no)) AS weight
+    FROM (SELECT material_id, chunk_no, term, tf * idf AS w FROM tf JOIN own_idf USING (material_id, term))"""
+OWN_HITS = f"""SELECT question_id, material_id, chunk_no, score, rank FROM (SELECT *, row_number() OVER (
+    PARTITION BY question_id ORDER BY score DESC, chunk_no) AS rank FROM (
+    SELECT q.question_id, c.material_id, c.chunk_no, round(coalesce(s.score, 0), 9) AS score
+    FROM asked q JOIN chunks c USING (material_id) LEFT JOIN (SELECT question_id, chunk_no, sum(q.weight * i.weight)
+    AS score FROM (SELECT question_id, material_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY question_id)) AS weight FROM (
+    SELECT question_id, material_id, term, count(*) * any_value(idf) AS w FROM (SELECT question_id, material_id, unnest({TOKENS}) AS term
+    FROM asked) JOIN own_idf USING (material_id, term) GROUP BY ALL)) q JOIN own_index i USING (material_id, term)
+    GROUP BY ALL) s ON s.question_id = q.question_id AND s.chunk_no = c.chunk_no)) WHERE rank <= 4"""
+OWN = {"asked": ASKED, "own_idf": OWN_IDF, "own_index": OWN_INDEX, "own_hits": OWN_HITS}
+
+
+@query("material_search", base("tf", **OWN) + f"""SELECT question_id, material_id, chunk_no, rank,
+    {steady_sql('score', 4)} AS score FROM own_hits""")
+def material_search(spark, folder):
+    return steadied(RT.material_search(materialized(chunks_of(spark, folder), "chunks"), asked_of(spark, folder)), {"score": 4})
+
+
+@query("material_answer", base("tf", **OWN) + f"""SELECT question_id,
+    '{RT.ANSWER_HEAD.strip()}' || chr(10) || chr(10)
+    || string_agg('- ' || substr({spaced_sql('text')}, 1, 500) || ' (' || source_start || ' -> ' || source_end || ')', chr(10) ORDER BY rank)
+    || chr(10) || chr(10) || 'Источники:' || chr(10)
+    || string_agg('* ' || source_start || ' -> ' || source_end, chr(10) ORDER BY rank) AS answer,
+    string_agg(chunk_id || ' (' || source_start || ' -> ' || source_end || '):' || chr(10) || text,
+    chr(10) || chr(10) ORDER BY rank) AS context
+    FROM own_hits JOIN chunks USING (material_id, chunk_no) GROUP BY question_id""")
+def material_answer(spark, folder):
+    chunks = materialized(chunks_of(spark, folder), "chunks")
+    return RT.extractive_answer(RT.material_search(chunks, asked_of(spark, folder)), chunks)
+
+
 @query("embedding_knn", f"""SELECT query_id, vec_id, rank, {steady_sql('distance', 4)} AS distance FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank FROM (
     SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))
