@@ -1,27 +1,106 @@
-"""Substring dedup by level-wise doubling, on words."""
+"""Substring dedup by level-wise doubling, on words.
+
+Level one hashes every window of ``base`` words (13 of 50).  Windows that no second
+document has end there.  At each further level a position stays a candidate only
+if the windows of half the length that make up its window, the one at its start
+and the one at its end, were both found repeated; those alone are extended to twice
+the length and looked up again, until ``length`` words are reached or no candidate
+is left.  The last level keeps 96 bits of each window and names its first document.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import tables
-from tidemark.llm.repeats import Scan, cut_repeats
+from tidemark.llm import passes, tables
+
+BASE = 13
+
+
+def levels(length: int, base: int = BASE) -> list[int]:
+    """Lengths that double (rounded up) from about ``base`` to ``length``."""
+    out = [length]
+    while out[0] > base:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def candidates(piece: passes.Piece, known: passes.Known | None, shorter: int, longer: int) -> np.ndarray:
+    """Positions whose window of ``longer`` words is made of two repeated ones of ``shorter``."""
+    at = piece.fits(longer)
+    if known is None or not len(at):
+        return at
+    repeated = np.zeros(len(piece.doc) + 1, bool)
+    hashes = piece.hashes(shorter)
+    repeated[: len(hashes)] = known.find(hashes >> passes.KEEP) >= 0
+    return at[repeated[at] & repeated[at + longer - shorter]]
+
+
+def ask(block: pa.Table, answers: pa.Table, shorter: int, longer: int, last: bool, ranges: int) -> pa.Table:
+    """One level, block side: the candidates' windows of ``longer`` words."""
+    ids, data, offsets = passes.opened(block)
+    known = passes.Known(answers) if shorter else None
+    hashes, low, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for piece in passes.word_pieces(ids, data, offsets):
+        at = candidates(piece, known, shorter, longer)
+        rows.append(piece.docs[piece.doc[at]])
+        hashes.append(piece.hashes(longer, at))
+        if last:
+            low.append(piece.hashes(longer, at, 1).astype(np.uint32))
+    name, hashes, rows = block.column("block")[0].as_py(), np.concatenate(hashes), np.concatenate(rows)
+    if last:
+        return passes.owner_rows(name, hashes, np.concatenate(low), ids[rows], ranges)
+    return passes.shared_rows(name, hashes >> passes.KEEP, rows, ranges)
+
+
+def cut(block: pa.Table, answers: pa.Table, length: int) -> pa.Table:
+    """Take out the words of windows that an earlier document has; spans are in words of the input."""
+    if not block.num_rows:
+        return passes.CUT_ARROW.empty_table()
+    ids, data, offsets = passes.opened(block)
+    owners = passes.Owners(answers)
+    out: list[list] = [[], [], [], [], [], []]
+    for piece in passes.word_pieces(ids, data, offsets):
+        hashes = piece.hashes(length)
+        at = piece.fits(length)
+        at = at[owners.find(hashes[at]) >= 0]
+        who = ids[piece.docs[piece.doc[at]]]
+        at = at[owners.before(hashes[at], piece.hashes(length, at, 1).astype(np.uint32), who)]
+        bounds = np.searchsorted(at, piece.starts)
+        for i, doc in enumerate(piece.docs):
+            words = data[offsets[doc] : offsets[doc + 1]].tobytes().split()
+            gone, starts, ends = passes.covered(len(words), at[bounds[i] : bounds[i + 1]] - piece.starts[i], length)
+            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if len(starts) else words)
+            for column, value in zip(out, (ids[doc], kept, len(words), int((ends - starts).sum()), starts, ends)):
+                column.append(value)
+    return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, passes.CUT_ARROW.types)], schema=passes.CUT_ARROW)
 
 
-def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 50, base: int = BASE) -> DataFrame:
     """Remove words that stand in a window of ``length`` words of an earlier document.
 
-    Level one looks at windows of ``length / 2`` words; only where one is repeated
-    it is extended to ``length`` words, first together with its neighbours, then
-    alone.  ``length`` ends the doubling: longer repeats are unions of its windows.
-    Words are runs of bytes other than the six ASCII space characters.
+    ``length`` ends the doubling: longer repeats are unions of its windows.  Words
+    are runs of bytes other than the six ASCII space characters.
 
-    Returns ``doc_id, text, n_words, n_removed, starts, ends``; nulls, repeated
-    rows and extra columns as in ``cut_repeats``.
+    Returns ``doc_id, text, n_words, n_removed, starts, ends`` of every row of
+    ``docs``; ``text`` is what is left, joined by one space, ``starts`` and ``ends``
+    the maximal removed runs.  A null text counts as empty.  A null doc_id counts as
+    larger than all others and comes back as null.  Rows with one doc_id, or without
+    one, never remove from each other.  Columns besides ``doc_id`` and ``text`` are
+    ignored.
     """
-    left = cut_repeats(docs, Scan("words", length, length - length // 2))
-    return left.withColumn("text", F.col("text").cast("string")).withColumnRenamed("n_symbols", "n_words")
+    over = passes.Passes(docs, "substrings")
+    ranges, shorter = over.ranges, 0
+    for longer in levels(length, base):
+        last = longer == length
+        over.run(lambda b, a, s=shorter, n=longer, last=last: ask(b, a, s, n, last, ranges) if b.num_rows else passes.SETS_ARROW.empty_table(), last)
+        shorter = longer
+    left = over.read(lambda b, a: cut(b, a, length), passes.CUT)
+    left = left.withColumn("doc_id", F.nullif("doc_id", F.lit(tables.LAST_ID))).withColumn("text", F.col("text").cast("string"))
+    return left.withColumnRenamed("n_symbols", "n_words")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
