@@ -22,8 +22,8 @@ from tidemark.llm import symbols as S
 from tidemark.llm.repeats import runs
 from tidemark.llm.tables import Scratch, ordered_id, text_bytes
 
-BLOCK = 8 << 20  # bytes of text in a block
-RANGE = 8 << 20  # bytes of all text for each hash range
+BLOCK = 4 << 20  # bytes of text in a block
+RANGE = 4 << 20  # bytes of all text for each hash range
 PIECE = 1 << 19  # bytes of text hashed at once
 KEEP = np.uint64(16)  # low bits of a hash that only the last pass sends
 
