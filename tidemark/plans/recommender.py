@@ -328,12 +328,12 @@ TOPK = """SELECT customer_id, article_id, rank, score FROM (
 
 @query("top_k_with_fallback", base("history", "popular", "pairs", targets="SELECT CAST(c_custkey AS VARCHAR) AS customer_id FROM customer",
     frequent="""SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS rank
-    FROM (SELECT customer_id, article_id, purchases AS score FROM pairs WHERE purchases >= 2)""", topk=TOPK)
+    FROM (SELECT customer_id, article_id, purchases AS score FROM pairs)""", topk=TOPK)
     + f"SELECT customer_id, article_id, rank, {steady_sql('CAST(score AS DOUBLE)')} AS score FROM topk")
 def top_k_with_fallback(spark, folder):
-    """Only repeat purchases are scored, so most lists need the fallback."""
+    """All purchase pairs are scored; short lists and customers without purchases get the fallback."""
     case = Case(spark, folder)
-    scored = case.pairs.where("purchases >= 2").select(
+    scored = case.pairs.select(
         "customer_id", "article_id", F.col("purchases").cast("double").alias("score")
     )
     users = C.customers(spark, folder).select("customer_id")
@@ -413,7 +413,13 @@ def category_affinity(spark, folder):
     return RF.category_affinity(case.history, C.articles(spark, folder))
 
 
-@query("candidate_features", base(*MERGE_STEPS, "articles", "customers", "attrs", uf=UF, itf=IF, pf=PF, af=AF, _as="AS MATERIALIZED") + f"""
+# A user's affinities as one map, in place of one join for each attribute.
+AFFINITY = """SELECT customer_id, map_from_entries(list({'k': category || '=' || value, 'v': purchases})) AS counts
+    FROM af GROUP BY customer_id"""
+CUT = "SELECT * FROM merged WHERE place <= 250"
+
+
+@query("candidate_features", base(*MERGE_STEPS, "articles", "customers", "attrs", uf=UF, itf=IF, pf=PF, af=AF, known=AFFINITY, cut=CUT, _as="AS MATERIALIZED") + f"""
     SELECT m.customer_id, m.article_id, CAST(0 AS DOUBLE) AS als_score, 0 AS als_rank, 0 AS from_als,
     {steady_sql('content_similarity_score')} AS content_similarity_score, content_rank, from_content_based,
     {steady_sql('personal_history_score')} AS personal_history_score, personal_history_rank, from_personal_history,
@@ -427,11 +433,10 @@ def category_affinity(spark, folder):
     coalesce(user_item_purchase_count, 0) AS user_item_purchase_count,
     coalesce(days_since_user_bought_item, 0) AS days_since_user_bought_item,
     coalesce(user_bought_item_before, 0) AS user_bought_item_before,
-    {', '.join(f'coalesce(f{i}.purchases, 0) AS {out}' for i, out in enumerate(RF.AFFINITY_COLUMNS.values()))}
-    FROM (SELECT * FROM merged WHERE place <= 250) m JOIN uf USING (customer_id) JOIN itf USING (article_id)
+    {', '.join(f"coalesce(known.counts['{c}=' || a.{c}], 0) AS {out}" for c, out in RF.AFFINITY_COLUMNS.items())}
+    FROM cut m JOIN uf USING (customer_id) JOIN itf USING (article_id)
     JOIN attrs a USING (article_id) LEFT JOIN pf ON pf.customer_id = m.customer_id AND pf.article_id = m.article_id
-    {' '.join(f"LEFT JOIN af f{i} ON f{i}.customer_id = m.customer_id AND f{i}.category = '{c}' AND f{i}.value = a.{c}"
-              for i, c in enumerate(RF.AFFINITY_COLUMNS))}""")
+    LEFT JOIN known ON known.customer_id = m.customer_id""")
 def candidate_features(spark, folder):
     case = Case(spark, folder)
     wide = RF.candidate_features(
