@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.functions.ordering import salted_join
 from tidemark.session import materialized
+from tidemark.operators.balls import Balls
 from tidemark.operators.tiles import dense_scores, ranked, sparse_scores, tile_top_k
 
 # Wording of the extractive answer.
@@ -149,11 +150,22 @@ def extractive_answer(hits: DataFrame, chunks: DataFrame, keys: Sequence[str] =
 
 
 def embedding_knn(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2", exclude_self: bool = False
+    queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2", exclude_self: bool = False,
+    centres: int | None = None,
 ) -> DataFrame:
-    """``k`` nearest ``(vec_id, vector)`` rows per ``(query_id, vector)`` row."""
+    """``k`` nearest ``(vec_id, vector)`` rows per ``(query_id, vector)`` row.
+
+    With ``centres`` (Euclidean distance only) the vectors lie in that many balls and
+    only those that can hold one of the ``k`` are scored: for clustered vectors.
+    Without, all pairs are scored, which is faster where the balls overlap.
+    """
     asked = queries.withColumn("extra", F.lit(1 if exclude_self else 0).cast("bigint"))
-    winners = tile_top_k(asked, vectors, dense_scores(metric), k, "query_id", ["vec_id"])
+    if centres is not None:
+        if metric != "l2":
+            raise ValueError("balls bound Euclidean distances only")
+        winners = Balls(vectors, "vec_id", centres).search(asked, k, "query_id")
+    else:
+        winners = tile_top_k(asked, vectors, dense_scores(metric), k, "query_id", ["vec_id"])
     if exclude_self:
         winners = winners.where(F.col("query_id") != F.col("vec_id"))
     distance = -F.col("score") if metric == "l2" else 1 - F.col("score")
